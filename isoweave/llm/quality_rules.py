@@ -23,26 +23,19 @@ from .common import table
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.9
-SPACES = "\x20\t\n\x0b\f\r"
 
 
 def word_list(text: Column) -> Column:
-    """The words of a text; translate() first makes every separator one byte, so that split needs no real pattern."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, "\n" * 6), "\n"), lambda w: w != "")
+    """The words of a text."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _words, _windows and the base counts; every step is a projection, so nothing is dealt anew."""
+    """docs with _hash, the hashes of its words, and the base counts; all projections, so nothing is dealt anew."""
     t = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(t, SPACES, "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.select(
-        "*",
-        word_list(F.col(text)).alias("_words"),
-        F.length(bare).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-    )
+    lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+    out = docs.select("*", word_list(F.col(text)).alias("_words"), F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("_lines"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     out = out.select("*", F.size("_words").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines")).drop("_lines")
     out = out.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
     at = lambda i: F.xxhash64(*(F.get("_hash", i + j) for j in range(5)))
