@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality_rules
+from . import decontaminate, html_extract, line_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
+    "op1_quality_classifier": quality_model.op1_quality_classifier,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_html_extraction": html_extract.op3_html_extraction,
+    "op4_token_store": token_store.op4_token_store,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {"op2_decontamination": decontaminate.ORACLE}
