@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_store
+from . import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality_classifier": quality_model.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_store": token_store.op4_token_store,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
