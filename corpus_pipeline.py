@@ -1,6 +1,7 @@
 """A training corpus in five stages, each by one operator of isoweave.llm.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; `run` writes each stage's
+rows to the shared folder as Parquet and gives the next stage what it reads back.
 """
 
 from __future__ import annotations
@@ -8,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoweave.llm import decontaminate, line_dedup, quality_rules
+from isoweave.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
 from isoweave.llm.common import Scratch, table
 
 
@@ -19,8 +21,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; the first of each stays."""
-    return line_dedup.dedup_lines(docs, Scratch(spark, "lines")).select(*docs.columns)
+    """Repeated chunks of lines go, the first of each stays; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, Scratch(spark, "lines"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more, over any number of links, the least doc_id stays."""
+    return jaccard_join.first_of_each(docs, Scratch(spark, "near"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +38,31 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality), ("line_dedup", lines), ("decontamination", decontaminated)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins and places of all pieces of the documents."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("jaccard_join", near_copies),
+    ("decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
 
-#: SQL can't express the first stage (64-bit hashes of n-grams).
+#: SQL can't express the first stage (64-bit hashes of n-grams) nor the last (best fit in order).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written to the shared folder and read again."""
+    """The stages one after the other over `documents`."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.cut(docs)
+            if i:
+                scratch.drop(before)
     return docs
