@@ -82,8 +82,10 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, text: str = "text", buck
     out = with_grams(base_counts(docs, text), buckets)
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     out = out.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))).drop("_grams", "_hash")
+    # row numbers in the verdicts keep a filter on them above the projections, whose expressions it would else repeat
+    here = F.monotonically_increasing_id() >= 0
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return out.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & here)
 
 
 COUNTS = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -94,8 +96,7 @@ def quality_filter(docs: DataFrame, trusted: DataFrame, **options: object) -> Da
     names = [f"_in{i}" for i in range(len(docs.columns))]  # the operator's columns may clash with the table's
     at = docs.columns.index("text")
     out = quality_scores(docs.toDF(*names), trusted.select(F.col("text").alias(names[at])), text=names[at], **options)
-    # the row number keeps the filter above the projections, whose expressions it would else repeat
-    return out.withColumn("_row", F.monotonically_increasing_id()).filter("kept AND _row >= 0").select(*names).toDF(*docs.columns)
+    return out.filter("kept").select(*names).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
