@@ -13,6 +13,9 @@ def folder(spark, texts, tmp_path_factory):
     frame(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").coalesce(2).write.parquet(f"{top}/documents.parquet")
     w = brute.words(next(t for t in texts.values() if t and 500 < len(t) < 3000))
     items = [(1, " ".join(w[2:20])), (2, " ".join(w[10:30])), (3, "nothing like it anywhere in these texts at all")]
+    # the texts' own words and pairs, but no window of eight of theirs, so that the quality rules know them
+    for i, t in texts.items():
+        items.append((100 + i, " ".join(f"zz{i}q{k}" if k % 7 == 6 else x for k, x in enumerate(brute.words(t)))))
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{top}/benchmark.parquet")
     return str(top), items
 

@@ -46,7 +46,7 @@ def test_scores_against_plain_version(docs, texts, trusted):
 
 
 def test_filter_keeps_columns(docs, empty, trusted):
-    out = R.quality_filter(docs, trusted)
+    out = R.quality_filter(docs, trusted, threshold=-50.0)
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
     assert R.quality_filter(empty, trusted).count() == 0
 
