@@ -9,8 +9,7 @@ A rolling hash over the last `WINDOW` ids ends a chunk where it is 0 modulo `MEA
 chunks wherever they stand. Reading joins documents with their chunks again, and every digest, document root and
 manifest root is computed anew and compared; a mismatch raises.
 
-Words are encoded once each and kept in a bounded table a worker (the pre-tokenizer never joins what white space
-parts); a text with a special token's string is encoded as a whole.
+Distinct words are encoded once a worker, in a bounded table; a text with a special token's string is encoded whole.
 
 Defined cases: null and empty texts have the end id only. doc_id is a key; repeated rows raise on reading back.
 Extra columns are ignored. An empty table gives empty tables.
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,64 +29,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, gram_hashes, mix, table, text_blocks
+from .common import LOWER, Scratch, gram_hashes, mix, prefix_hash, separators, span_hash, table, text_blocks, words
 
-WINDOW, MEAN, END = 16, 512, 1
-#: Distinct words that a worker keeps encoded; beyond, it starts over.
-CACHE_WORDS = 400_000
+WINDOW, MEAN, END = 8, 512, 1
+#: Distinct pieces that a worker keeps encoded; beyond, it starts over.
+CACHE_WORDS = 1_500_000
+#: Marks that no pre-token shares with letters or digits, and the bytes that surely part words.
+MARKED = np.zeros(256, bool)
+MARKED[list(b".,;:!?%*#$&|")] = True
+PARTED = separators(0x20, 0x0A)
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy with room for n values at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+def all_letters(s: str) -> bool:
+    """Whether s is letters alone, as it stands and as the normaliser leaves it."""
+    return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
+
+
+class HashTable:
+    """int32 values by 64-bit hashes: open addressing, looked up and filled by whole arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The value of each hash, -1 if there is none."""
+        out, left, slot = np.full(len(h), -1, np.int32), np.arange(len(h)), h & self.mask
+        while len(left):
+            k = self.keys[slot[left]]
+            hit = k == h[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Hashes that are all different and not there yet."""
+        left, slot = np.arange(len(h)), h & self.mask
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.values[slot[free]] = h[free], values[free]
+            left = np.setdiff1d(left, free, assume_unique=True)
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
 
 class WordEncoder:
-    """encode(texts): ids of all texts and where each text's begin."""
+    """encode(texts): ids of all texts and where each text's begin.
+
+    White space parts words, and a run of letters and the marks after it are pre-tokens of their own; so each distinct
+    one is encoded once and found again by the 64-bit hash of its bytes, with ASCII letters in lower case. A word of
+    another build is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.type = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.table, self.count = HashTable(), 1  # piece 0 has no ids
         self.at, self.n, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type), 0
 
-    def add(self, new: list[str]) -> None:
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = [e.ids for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), self.type, int(n.sum()))
-            k = len(self.index)
-            while len(self.at) < k + len(part):
-                self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
-            while len(self.ids) < self.used + len(flat):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.at[k : k + len(part)] = self.used + np.cumsum(n) - n
-            self.n[k : k + len(part)] = n
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.index.update(zip(part, range(k, k + len(part))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
+    def pieces(self, low: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, letters: bool) -> np.ndarray:
+        """The number of each piece start:end; new ones are encoded. With `letters`, -2 for those that aren't runs of letters."""
+        out = self.table.get(h)
+        if not len(missing := np.flatnonzero(out == -1)):
+            return out
+        fresh, first = np.unique(h[missing], return_index=True)
+        first, flat = missing[first], low.tobytes()
+        texts = [flat[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
+        value = np.full(len(texts), -2, np.int32)
+        fine = np.flatnonzero(np.fromiter(map(all_letters, texts), bool, len(texts))) if letters else np.arange(len(texts))
+        for i in range(0, len(fine), 20_000):
+            which = fine[i : i + 20_000]
+            some = [texts[k] for k in which.tolist()]
+            begins = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            got = self.whole.encode(" ".join(some), add_special_tokens=False)
+            word = np.searchsorted(begins, np.fromiter((a for a, _ in got.offsets), np.int64, len(got)), "right")
+            n, k = np.bincount(word, minlength=len(some)), self.count
+            self.ids = grown(self.ids, self.used + len(word))
+            self.ids[self.used : self.used + len(word)] = got.ids
+            self.at, self.n = grown(self.at, k + len(some)), grown(self.n, k + len(some))
+            self.at[k : k + len(some)] = self.used + np.cumsum(n) - n
+            self.n[k : k + len(some)] = n
+            value[which] = np.arange(k, k + len(some))
+            self.used, self.count = self.used + len(word), k + len(some)
+        self.table.put(fresh, value)
+        out[missing] = self.table.get(h[missing])
+        return out
+
+    def encode_block(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.count > CACHE_WORDS:
             self.clear()
-        odd = [any(s in t for s in self.special) if "<" in t or "|" in t else False for t in texts]
-        lists = [[] if o else t.replace("\n", " ").split(" ") for t, o in zip(texts, odd)]
-        new = set().union(*lists) - self.index.keys()
-        if new:
-            self.add(sorted(new))
-        idx = np.fromiter((i for words in lists for i in map(self.index.__getitem__, words)), np.int64, sum(map(len, lists)))
-        n = self.n[idx]
+        low = LOWER[buf]
+        start, end, first = words(low, offs, PARTED)
+        if len(start):
+            last = np.maximum.accumulate(np.where(MARKED[low], 0, np.arange(1, len(low) + 1)))
+            tail = np.maximum(last[end - 1], start)
+            c = prefix_hash(low)
+            hashed = lambda a, b: np.maximum(mix(span_hash(c, a, b) + (b - a).astype(np.uint64)), np.uint64(1))
+            part = np.zeros((len(start), 2), np.int32)
+            some = np.flatnonzero(tail > start)
+            part[some, 0] = self.pieces(low, hashed(start[some], tail[some]), start[some], tail[some], True)
+            some = np.flatnonzero(end > tail)
+            part[some, 1] = self.pieces(low, hashed(tail[some], end[some]), tail[some], end[some], False)
+            some = np.flatnonzero(part[:, 0] == -2)
+            part[some, 1] = 0
+            part[some, 0] = self.pieces(low, np.maximum(mix(hashed(start[some], end[some]) ^ np.uint64(0x5555)), np.uint64(1)), start[some], end[some], False)
+            part = part.reshape(-1)
+        else:
+            part = np.zeros(0, np.int32)
+        n = self.n[part]
         done = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[idx] - done + n, n) + np.arange(done[-1] if len(done) else 0)]
-        upto = np.concatenate(([0], done))[np.concatenate(([0], np.cumsum([len(w) for w in lists])))]
-        if not any(odd):
+        ids = self.ids[np.repeat(self.at[part] - done + n, n) + np.arange(done[-1] if len(done) else 0)]
+        upto = np.concatenate(([0], done))[2 * first]
+        # texts with a special token's string are encoded as they are
+        bar = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C)) if len(buf) > 1 else np.zeros(0, np.int64)
+        texts = {d: buf[offs[d] : offs[d + 1]].tobytes() for d in np.unique(np.searchsorted(offs, bar, "right") - 1).tolist()}
+        texts = {d: t for d, t in texts.items() if any(x in t for x in self.special)}
+        if not texts:
             return ids, upto
-        parts = [np.array(self.whole.encode(t, add_special_tokens=False).ids, self.type) if o else ids[a:b] for t, o, a, b in zip(texts, odd, upto, upto[1:])]
+        parts = [np.array(self.whole.encode(texts[d].decode(), add_special_tokens=False).ids, self.type) if d in texts else ids[a:b] for d, (a, b) in enumerate(zip(upto, upto[1:]))]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode() for t in texts]
+        return self.encode_block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -119,8 +197,8 @@ def encode_and_cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     encoder = _encoders[path]
-    for rows, _, _ in text_blocks(batches):
-        ids, offs = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+    for rows, buf, offs in text_blocks(batches):
+        ids, offs = encoder.encode_block(buf, offs)
         n_docs = rows.num_rows
         full = np.empty(len(ids) + n_docs, ids.dtype)
         ends = offs[1:] + np.arange(1, n_docs + 1)
@@ -229,7 +307,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark = docs.sparkSession
     staged = f"{path}/staged"
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: encode_and_cut(b, tokenizer), STAGED)
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    rows.write.partitionBy("kind").parquet(staged)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     back = spark.read.schema(STAGED).parquet(staged)
     chunks = back.filter("kind = 0").select("digest", "doc_id", "idx", "data", "n_refs")
