@@ -6,7 +6,7 @@ occurs once in the corpus have no need to travel), and there sorting the windows
 hashes agree are compared as bytes before they count.
 
 Defined cases: null and empty texts have no words. Texts under 35 words lose nothing, copies or not. doc_id is a
-key. Overlapping windows count, within a document as well; judged on the input, so that all occurrences go, the
+key; repeated rows are copies of each other and give a row each. Overlapping windows count, within a document as well; judged on the input, so that all occurrences go, the
 first too. Words are runs of other than space and bytes 9-13, unchanged. Extra columns are ignored.
 """
 
@@ -102,3 +102,16 @@ def dedup_words(docs: DataFrame, scratch: Scratch, with_text: bool = False, hot:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("kept")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s : s + 34], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM w)),
+dup AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM win JOIN dup USING (t)),
+n AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM pos ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.k, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

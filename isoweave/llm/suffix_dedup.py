@@ -8,7 +8,7 @@ members, then ordered by the next 8 bytes, until runs are single or agree in the
 other that agree in full are compared byte by byte (8 at a time) before they count.
 
 Defined cases: null and empty texts are 0 bytes, nothing removed. Texts under 200 bytes lose nothing, copies or
-not. doc_id is a key. Overlapping strings count, within a document as well; judged on the input, so that all
+not. doc_id is a key; repeated rows are copies of each other and give a row each. Overlapping strings count, within a document as well; judged on the input, so that all
 occurrences go, the first too. Extra columns are ignored.
 """
 

@@ -209,7 +209,7 @@ def copies_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, rep): the documents whose text others have as well, each with the least doc_id of its text."""
     sums = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     many = sums.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).filter("k > 1").select("sha", "rep")
-    return scratch.cut(sums.join(many, "sha").select("doc_id", "rep"))
+    return scratch.cut(sums.join(many, "sha").select("doc_id", "rep").distinct())
 
 
 def repeated_ranges(docs: DataFrame, kind: Kind, scratch: Scratch, copies: DataFrame, hot: int = HOT) -> DataFrame:

@@ -113,3 +113,12 @@ def test_periodic_text(spark, scratch):
     assert {r["doc_id"]: r["n_removed"] for r in S.dedup_bytes(d, scratch).collect()} == {i: sum(g) for i, g in brute.repeated(units, 200).items()}
     units = {i: brute.words(t) for i, t in texts.items()}
     assert {r["doc_id"]: r["n_removed"] for r in U.dedup_words(d, scratch).collect()} == {i: sum(g) for i, g in brute.repeated(units, 35).items()}
+
+
+def test_repeated_rows(spark, scratch):
+    """A row that stands twice: a row each, as copies of each other for the deduplicating operators."""
+    long, other = " ".join(f"w{k}" for k in range(90)), " ".join(f"v{k}" for k in range(80))
+    d = frame(spark, {1: long, 2: other}).union(frame(spark, {1: long}))
+    assert sorted((r["doc_id"], r["n_removed"] == r["n_bytes"]) for r in S.dedup_bytes(d, scratch).collect()) == [(1, True), (1, True), (2, False)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in U.dedup_words(d, scratch).collect()) == [(1, 90), (1, 90), (2, 0)]
+    assert sorted((r["doc_id"], r["component_id"]) for r in J.near_duplicates(d, scratch).collect()) == [(1, 1), (1, 1), (2, 2)]
