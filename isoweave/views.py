@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reachable
+
 GRID = {"nx": 20, "ny": 20, "lat0": 40.0, "lon0": 0.0, "dy": 0.5, "dx": 0.5}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
