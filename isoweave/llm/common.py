@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import reachable
+
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at a time; a single longer document is taken alone.
 BLOCK_BYTES = 1 << 20
@@ -29,6 +31,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +52,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; drop() removes those that later tables have replaced."""
 
     def __init__(self, spark: SparkSession, name: str):
+        reachable(spark)
         self.spark, self.top, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def path(self) -> str:
