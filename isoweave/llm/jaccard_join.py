@@ -34,7 +34,7 @@ from .common import LOWER, SPACED, Scratch, gram_hashes, mix, table, text_blocks
 
 SHINGLE = 5
 SKETCH_BITS, SKETCH_ROWS = 18, 64
-ROUNDS = 4
+ROUNDS = 2
 #: Shingles that one verifying task holds at most, unless a single document has more.
 FAMILY = 3_000_000
 #: Shingles of this class of frequency or above are dealt to several partitions.
@@ -95,7 +95,7 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
 
 def base_match(n: np.ndarray | int) -> np.ndarray | int:
     """The least L of a set of n shingles; partners have at least (4n + 4) // 5."""
-    return 1 + n // 24
+    return 1 + n // 12
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -211,17 +211,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     return None if roots is None else roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def crossing(tokens: DataFrame) -> DataFrame:
-    """Rows whose token is in documents of two families or more, of documents that have enough such tokens. One pass."""
-    span = tokens.groupBy("token").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo != hi").select("token")
-    rows = tokens.join(span, "token", "left_semi")
+def crossing(tokens: DataFrame, scratch: Scratch, met: bool = False) -> DataFrame:
+    """Rows whose token is in documents of two families or more, of documents that have enough such tokens.
+
+    Each step is written, as the next uses it twice. `met`: each token is known to have two families.
+    """
+    rows = tokens
+    if not met:
+        span = tokens.groupBy("token").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo != hi").select("token")
+        rows = scratch.cut(tokens.join(span, "token", "left_semi"))
     enough = rows.groupBy("doc").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= base_floor("m")).select("doc")
-    return rows.join(enough, "doc", "left_semi")
+    out = scratch.cut(rows.join(enough, "doc", "left_semi"))
+    if not met:
+        scratch.drop(rows)
+    return out
+
+
+def pruned(tokens: DataFrame, scratch: Scratch, met: bool = False) -> DataFrame:
+    """Two passes of `crossing`: what documents leave behind may leave others with too few."""
+    once = crossing(tokens, scratch, met)
+    out = crossing(once, scratch)
+    scratch.drop(once)
+    return out
 
 
 def base_floor(n: str) -> F.Column:
     """base_match of the smallest set that a set of n can be linked with."""
-    return F.expr(f"1 + ((4 * {n} + 4) DIV 5) DIV 24")
+    return F.expr(f"1 + ((4 * {n} + 4) DIV 5) DIV 12")
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -230,10 +246,25 @@ def matched(pairs: DataFrame) -> DataFrame:
     return same.filter("c >= match AND 5 * nx >= 4 * ny AND 5 * ny >= 4 * nx")
 
 
+def residual_links(left: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): families that hold documents which may be linked by what the rounds left of their prefixes.
+
+    What is left is a set like any other: ordered by its true frequency, two linked documents share one of all but
+    each one's last (least match - 1) shingles. Those are the frequent ones, so families rarely meet by chance. Each
+    such shingle ties its families to its least one: as many rows as shingles, however many documents have it.
+    """
+    often = left.groupBy("token").agg(F.count("*").alias("df"))
+    rows = left.join(often, "token").groupBy("doc").agg(F.first("fam").alias("fam"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    keep = F.greatest(F.size("r") - base_floor("n").cast("int") + 1, F.lit(0))
+    rows = scratch.cut(rows.select("fam", F.explode(F.slice("r", F.lit(1), keep)).alias("s")).select("fam", "s.token").distinct())
+    least = rows.groupBy("token").agg(F.min("fam").alias("b"))
+    return rows.join(least, "token").filter("fam != b").select(F.col("fam").alias("a"), "b").distinct()
+
+
 def families(tokens: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
     """All documents of `tokens` with (doc, n), and (node, root) of those that join a family under another's name."""
     everyone = scratch.cut(tokens.groupBy("doc").agg(F.first("n").alias("n")))
-    left = scratch.cut(crossing(crossing(tokens.withColumn("fam", F.col("doc")))))
+    left = pruned(tokens.withColumn("fam", F.col("doc")), scratch, met=True)
     family = None
 
     def renamed(rows: DataFrame) -> DataFrame:
@@ -258,13 +289,12 @@ def families(tokens: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple
         pairs = pairs.select(F.col("doc").alias("x"), F.col("l.doc").alias("y"), F.col("fam").alias("fx"), F.col("l.fam").alias("fy"), F.col("match").alias("mx"), F.col("l.match").alias("my"), F.col("n").alias("nx"), F.col("l.n").alias("ny"))
         if not merged(matched(pairs).select(F.col("fx").alias("a"), F.col("fy").alias("b"))):
             break
-        after = scratch.cut(crossing(crossing(renamed(left))))
+        named = scratch.cut(renamed(left))
         scratch.drop(left)
-        left = after
+        left = pruned(named, scratch)
+        scratch.drop(named)
     if not is_empty(left):
-        side = lambda s: left.select("token", F.col("doc").alias(s), F.col("fam").alias(f"f{s}"), F.col("match").alias(f"m{s}"), F.col("n").alias(f"n{s}"))
-        pairs = side("x").join(side("y"), "token").filter("x < y AND fx != fy AND 5 * nx >= 4 * ny AND 5 * ny >= 4 * nx")
-        merged(matched(pairs).select(F.col("fx").alias("a"), F.col("fy").alias("b")))
+        merged(residual_links(left, scratch))
     return everyone, family
 
 
@@ -361,6 +391,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, family: int = FAMILY) ->
     tokens = sets.filter("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", "match", "prefix").mapInArrow(tokens_of, TOKENS)
     salt = F.when(F.shiftrightunsigned("token", 58) >= SPREAD_CLASS, F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
     tokens = scratch.cut(tokens.repartition(parts, "token", salt).sortWithinPartitions("token").mapInArrow(met, TOKENS))
+    heads = scratch.cut(sets.select("doc_id", "n"))
+    scratch.drop(sets)
     everyone, named = families(tokens, scratch)
     scratch.drop(tokens)
     found = None
@@ -374,7 +406,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, family: int = FAMILY) ->
         rows = rows.withColumn("part", with_part).select("fam", "part", "doc", "keys")
         links = scratch.cut(rows.repartition(parts, "fam", "part").sortWithinPartitions("fam", "part", "doc").mapInArrow(verify, "a long, b long"))
         found = components(links, scratch)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = heads.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if found is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return out.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -388,3 +420,16 @@ def first_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-SQL = {"op2_decontamination": decontaminate.ORACLE}
+SQL = {"op2_decontamination": decontaminate.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
