@@ -71,6 +71,31 @@ def test_extraction_of_all_pages(spark, data, scratch):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+def test_copies_are_no_template():
+    copies = [page(f"<div class='ad'>Ad {k}</div><div><h1>Title</h1><p>One</p><p>Two</p><h2>More</h2></div>") for k in range(5)]
+    assert H.infer(copies) == {}
+    long = [page("<div>" + "".join(f"<h2>H {k} {j}</h2>" + "<p>a</p>" * (1 + j % 2) for j in range(2500)) + f"<h3>Last {k}</h3><h4>All rights reserved</h4></div>") for k in range(3)]
+    assert "All rights reserved" in sum(H.infer(long).values(), [])
+
+
+def test_template_is_confirmed_over_all_pages(spark, scratch):
+    # a marked article keeps its constant texts
+    rows = [(k, "http://a/", page(f"<article><h1>Same</h1><p>Text {k}</p></article>")) for k in range(6)]
+    # a host whose copies of one page outnumber the others
+    rows += [(100 + k, "http://b/", page("<div><h1>Copy</h1><p>One</p><p>Two</p></div>")) for k in range(40)] + [(200, "http://b/", page("<div><h1>Other</h1><p>Three</p></div>"))]
+    # a text of half of the pages, those that the sample takes, and one of all pages
+    body = lambda k, own: page(f"<div><h1>Title {k}</h1><p>Text {k}</p><h2>{own}</h2><h3>All</h3></div>")
+    made = [(k, *x) for k in range(240) for x in (("Half", body(k, "Half")), (f"Own {k}", body(k, f"Own {k}")))]
+    made = spark.createDataFrame(made, "k int, own string, html string").selectExpr("*", "xxhash64(html) AS h").orderBy("h").collect()
+    half = [r for r in made if r["own"] == "Half"][:60]
+    own = [r for r in made if r["own"] != "Half" and r["h"] > half[7]["h"] and r["k"] not in {x["k"] for x in half}][:60]
+    rows += [(300 + r["k"], "http://c/", r["html"]) for r in half + own]
+    out = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert all(out[k] == f"Same\nText {k}" for k in range(6))
+    assert all(out[100 + k] == "Copy\nOne\nTwo" for k in range(40)) and out[200] == "Other\nThree"
+    assert len(own) == 60 and all(out[300 + r["k"]] == f"Title {r['k']}\nText {r['k']}\n{r['own']}" for r in half + own)
+
+
 def test_extraction_of_nothing(spark, scratch):
     rows = spark.createDataFrame([(1, None, None), (2, "x", ""), (3, "http://h/", "<p>a</p>"), (3, "http://h/", "<p>a</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"]) for r in H.extract_pages(rows, scratch).collect()) == [(1, ""), (2, ""), (3, "a"), (3, "a")]
