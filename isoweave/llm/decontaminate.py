@@ -15,8 +15,9 @@ one block; with several, doc_id must be a key. Extra columns are returned by `re
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,12 @@ def digests(batches: Iterator[pa.RecordBatch], min_items: int) -> Iterator[pa.Re
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (one bit a word, packed; null if none)."""
-    parts = [scanned(docs, items, n) for items in benchmark_blocks(benchmark, block)]
+    return contaminations(docs, benchmark_blocks(benchmark, block), n, min_items)
+
+
+def contaminations(docs: DataFrame, blocks: Iterable[list[tuple[int, str]]], n: int, min_items: int) -> DataFrame:
+    """The same for a benchmark in blocks."""
+    parts = [scanned(docs, items, n) for items in blocks]
     out = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -147,38 +153,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, block: int = BLOCK, spans: bool = True) -> DataFrame:
-    """docs without contaminated documents (those with windows of `min_items` or more items); from the others the
-    spans of words that are hit are cut out of the text, if `spans`. Columns are those of docs; one block at a time."""
-    names = docs.columns
-    schema = docs.schema
-    for items in benchmark_blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            wanted = Windows(shared.value, n)
-            for rows, buf, offs in text_blocks(batches):
-                low = LOWER[buf]
-                first, hit, found = scan(buf, offs, wanted)
-                keep = np.ones(rows.num_rows, bool)
-                texts = rows.column("text")
-                if found:
-                    start, end, _ = words(low, offs, ALNUM)
-                    new = texts.to_pylist()
-                    for d, ids in found.items():
-                        keep[d] = len(ids) < min_items
-                        if keep[d] and spans:
-                            new[d] = without_spans(buf, offs[d], offs[d + 1], start[first[d] : first[d + 1]], end[first[d] : first[d + 1]], hit[first[d] : first[d + 1]])
-                    texts = pa.array(new, texts.type)
-                out = [texts if c == "text" else rows.column(i) for i, c in enumerate(names)]
-                if "n_chars" in names:
-                    import pyarrow.compute as pc
-
-                    at = names.index("n_chars")
-                    out[at] = pc.if_else(pc.equal(texts, rows.column("text")), out[at], pc.utf8_length(texts).cast(out[at].type)) if found else out[at]
-                yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    """docs without contaminated documents (those with windows of `min_items` or more items, of any blocks); from the
+    others the spans of words that are hit are cut out of the text, if `spans`. Columns are those of docs."""
+    names, schema = docs.columns, docs.schema
+    parts = benchmark_blocks(benchmark, block)
+    some = list(itertools.islice(parts, 2))
+    shared = docs.sparkSession.sparkContext.broadcast(some[0]) if len(some) == 1 else None
+    if not shared:
+        found = contaminations(docs, itertools.chain(some, parts), n, min_items).filter("n_items > 0").select(F.col("doc_id").alias("_found_id"), F.col("hits").alias("_hits"), F.col("contaminated").alias("_gone"))
+        docs = docs.join(found, F.col("doc_id").cast("long") == F.col("_found_id"), "left").filter("_gone IS NULL OR NOT _gone").select(*names, "_hits")
+    cache: list[Windows] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared and not cache:
+            cache.append(Windows(shared.value, n))
+        for rows, buf, offs in text_blocks(batches):
+            keep = np.ones(rows.num_rows, bool)
+            if shared:
+                first, hit, items = scan(buf, offs, cache[0])
+                hits = {d: hit[first[d] : first[d + 1]] for d in items}
+                for d, ids in items.items():
+                    keep[d] = len(ids) < min_items
+            else:
+                hits = {d: np.unpackbits(np.frombuffer(x, np.uint8)) for d, x in enumerate(rows.column("_hits").to_pylist()) if x}
+            texts = rows.column("text")
+            if hits and spans:
+                start, end, first = words(LOWER[buf], offs, ALNUM)
+                new = texts.to_pylist()
+                for d, h in hits.items():
+                    if keep[d]:
+                        new[d] = without_spans(buf, offs[d], offs[d + 1], start[first[d] : first[d + 1]], end[first[d] : first[d + 1]], h[: first[d + 1] - first[d]])
+                texts = pa.array(new, texts.type)
+            out = [texts if c == "text" else rows.column(i) for i, c in enumerate(names)]
+            if "n_chars" in names:
+                import pyarrow.compute as pc
+
+                at = names.index("n_chars")
+                out[at] = pc.if_else(pc.equal(texts, rows.column("text")), out[at], pc.utf8_length(texts).cast(out[at].type)) if hits else out[at]
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
 
 
 def without_spans(buf: np.ndarray, at: int, to: int, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> str:

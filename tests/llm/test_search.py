@@ -40,6 +40,22 @@ def test_removal(spark, docs, texts, items, empty):
     assert D.remove_contaminated(docs, bench.filter("false")).count() == len(texts)
 
 
+@pytest.mark.parametrize("block", [1, 40])
+def test_removal_of_several_blocks(spark, docs, texts, items, block):
+    # overlapping windows of two items, and one item each of two blocks, in documents of their own
+    w = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(w[:10]), 0), (2, "a b " + " ".join(w[:9]) + " c", 0), (3, " ".join(w[20:29]) + " and " + " ".join(w[:9]), 0), (4, "x " + " ".join(w[4:16]), 0), (5, None, 0)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(1, " ".join(w[:9])), (2, " ".join(w[20:29])), (3, " ".join(w[4:12])), (4, " ".join(w[6:16]))], "item_id long, text string")
+    for d, b in ((docs, spark.createDataFrame(items, "item_id long, text string")), (few, bench), (few, bench.filter("item_id <> 3"))):
+        for least in (2, 9):
+            rows_of = lambda size: sorted(map(tuple, D.remove_contaminated(d, b, min_items=least, block=size).collect()), key=repr)
+            assert rows_of(block) == rows_of(D.BLOCK)
+    left = {r["doc_id"]: r["text"] for r in D.remove_contaminated(few, bench.filter("item_id < 3"), block=block).collect()}
+    assert set(left) == {1, 2, 4, 5} and left[2] == "a b  c" and left[5] is None
+    assert {r["doc_id"]: r["text"] for r in D.remove_contaminated(few, bench.filter("item_id > 2"), min_items=9, block=block).collect()}[4] == "x "
+
+
 @pytest.mark.parametrize("seed,family", [(0, J.FAMILY), (1, 150), (2, 40)])
 def test_jaccard(spark, scratch, seed, family):
     texts = some_texts(seed)
