@@ -2,7 +2,8 @@
 
 Native: DataFrame functions only. A line's hash and those of the `window` - 1 lines before it in its chunk's
 neighbourhood form a rolling hash; a chunk ends after a line whose rolling hash is 0 modulo `divisor`, so bounds
-depend on content alone and survive shifts. Chunk hashes are counted over every document (partial counts before
+depend on content alone and survive shifts. With `least` 2 a line ends a chunk only if the line before did not, so
+that no chunk but a text's last has a single line; within a run of lines that could end one, every other does. Chunk hashes are counted over every document (partial counts before
 the shuffle); chunks whose hash repeats are fetched and grouped by their bytes, and of equal ones the first by
 (doc_id, place) stays. Hot chunks only ever meet in counts and minima, never as a list.
 
@@ -18,23 +19,28 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-WINDOW, DIVISOR = 2, 3
+WINDOW, DIVISOR, LEAST = 2, 3, 2
 
 
-def chunk_ends(lines: str, window: int, divisor: int) -> Column:
+def chunk_ends(lines: str, window: int, divisor: int, least: int) -> Column:
     """Of each line: whether its chunk ends there."""
 
-    def ends(line: Column, i: Column) -> Column:
-        rolling = F.xxhash64(*(F.get(lines, i - j) for j in range(window)))
-        return (F.pmod(rolling, F.lit(divisor)) == 0) | (i == F.size(lines) - 1)
+    def bound(line: Column, i: Column) -> Column:
+        return F.pmod(F.xxhash64(*(F.get(lines, i - j) for j in range(window))), F.lit(divisor)) == 0
 
-    return F.transform(lines, ends)
+    last = lambda i: i == F.size(lines) - 1
+    if least == 1:
+        return F.transform(lines, lambda line, i: bound(line, i) | last(i))
+    # a digit a line, and a bound before the first: of neighbouring bounds, from the left, the second goes
+    marks = F.array_join(F.transform(lines, lambda line, i: F.when(bound(line, i), "1").otherwise("0")), "")
+    marks = F.regexp_replace(F.concat(F.lit("1"), marks), "11", "10")
+    return F.transform(F.split(F.substring(marks, 2, 1 << 30), ""), lambda mark, i: (mark == "1") | last(i))
 
 
-def chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+def chunked(docs: DataFrame, window: int, divisor: int, least: int) -> DataFrame:
     """One row a document: _id, _lines and _ends, the places (from 1) of the last lines of its chunks."""
     out = docs.select("_id", F.split("_text", "\n").alias("_lines"))
-    out = out.withColumn("_flags", chunk_ends("_lines", window, divisor))
+    out = out.withColumn("_flags", chunk_ends("_lines", window, divisor, least))
     return out.withColumn("_ends", F.filter(F.transform("_flags", lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())).drop("_flags")
 
 
@@ -45,9 +51,9 @@ def chunk_structs(frame: DataFrame) -> DataFrame:
     return frame.withColumn("_chunks", F.filter(F.transform("_ends", chunk), lambda c: c["n"] > 1))
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+def repeated_chunks(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor: int = DIVISOR, least: int = 1) -> DataFrame:
     """(_id, _gone): the lines from 0 that repeated chunks take from each document that loses any. docs: _id, _text."""
-    split = chunk_structs(chunked(docs, window, divisor))
+    split = chunk_structs(chunked(docs, window, divisor, least))
     marks = scratch.cut(split.select("_id", F.explode_outer("_chunks").alias("c")).filter("c IS NOT NULL").select("_id", "c.at", "c.n", "c.hash"))
     often = marks.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash")
     wanted = marks.join(often, "hash").groupBy("_id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("_want"))
@@ -62,10 +68,10 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, window: int = WINDOW, div
     return out
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = 1) -> DataFrame:
     """docs with `text` shortened, and after its own columns _n_lines, _n_removed and _n_chunks of each document."""
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    gone = repeated_chunks(plain, scratch, window, divisor)
+    gone = repeated_chunks(plain, scratch, window, divisor, least)
     out = docs.join(gone.withColumnRenamed("_id", "_gone_id"), F.col(doc_id) == F.col("_gone_id"), "left").withColumn("_lines", F.split(text, "\n"))
     # the removed chunks are disjoint and in order: what stays are the stretches between them
     till = lambda i: F.coalesce(F.get("_gone", i)["at"], F.size("_lines"))
@@ -79,6 +85,6 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_chunks removed, n_chars left and kept_sha256 of what is left."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"), least=LEAST)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_chunks").alias("n_chunks"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))

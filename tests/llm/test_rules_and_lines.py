@@ -96,5 +96,37 @@ def test_line_dedup(docs, texts, scratch):
     assert any(r["_n_removed"] for r in got.values())
 
 
+def least_two(texts, window=2, divisor=3):
+    """As plain_dedup, but a chunk ends only where it has two lines."""
+    h = lambda s, seed=42: xxhash.xxh64(s.encode(), seed=seed).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seen, out = set(), {}
+    for i in sorted(texts):
+        lines, begin, kept = (texts[i] or "").split("\n"), 0, []
+        for k, line in enumerate(lines):
+            x = 42
+            for j in range(min(window, k + 1)):
+                x = h(lines[k - j], x)
+            if signed(x) % divisor == 0 and k > begin or k == len(lines) - 1:
+                c, begin = lines[begin : k + 1], k + 1
+                text = "\n".join(c)
+                if len(c) > 1 and brute.words(text):
+                    if text in seen:
+                        continue
+                    seen.add(text)
+                kept += c
+        out[i] = None if texts[i] is None else "\n".join(kept)
+    return out
+
+
+def test_chunks_have_two_lines(spark, docs, texts, scratch, tmp_path):
+    want = least_two(texts)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs, scratch, least=2).collect()} == want
+    # a whole copy keeps one line at most, which the query must find as well
+    copy = "\n".join(f"line {k} of a copy" for k in range(40))
+    spark.createDataFrame([(1, copy), (2, copy)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] >= 39 for r in L.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: False, 2: True}
+
+
 def test_line_dedup_of_nothing(empty, scratch):
     assert L.dedup_lines(empty, scratch).count() == 0
