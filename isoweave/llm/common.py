@@ -7,14 +7,16 @@ and n-gram hashes come from a handful of numpy passes over the bytes of a block
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reachable
@@ -25,6 +27,8 @@ BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+#: By a number of bytes: the low bits of a little-endian block that belong to them.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 # ---------------------------------------------------------------- tables
@@ -156,7 +160,21 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(span_hash(prefix_hash(buf), start, end) + (end - start).astype(U64)) if len(start) else np.zeros(0, U64)
+    """64-bit hashes of the words start:end, 8 bytes at a time, each mixed before the next: no two words known to meet."""
+    if not len(start):
+        return np.zeros(0, U64)
+    n = end - start
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(n.astype(U64) + U64(_BASE))
+    which, at = np.arange(len(n)), 0
+    while len(which) and at < 256:
+        block = eight[start[which] + at] & _MASKS[np.minimum(n[which] - at, 8)]
+        out[which] = mix((out[which] ^ block) + U64(at))
+        at += 8
+        which = which[n[which] > at]
+    for i in which.tolist():  # the rest of very long words
+        out[i] ^= U64(int.from_bytes(hashlib.blake2b(buf[start[i] + at : end[i]].tobytes(), digest_size=8).digest(), "little"))
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -192,6 +210,48 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(f == 1), np.flatnonzero(f == -1)
 
 
-def spread(spark: SparkSession, frame: DataFrame, *keys: str) -> DataFrame:
-    """Dealt by the keys to as many partitions as the session's shuffles have."""
-    return frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *map(F.col, keys))
+# ---------------------------------------------------------------- joins
+
+
+#: Keys that may be broadcast for having many rows: fewer than this can have more than 1/HOT_KEYS of all rows each.
+HOT_KEYS = 4096
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """big with small's columns (one row a key; `rows` counts big's rows of that key, and goes). No key takes many rows
+    of big to one task: those with over total / HOT_KEYS rows, fewer than HOT_KEYS, are broadcast. how: inner or left."""
+    many = F.col(rows) > total / HOT_KEYS
+    hot, rest = small.filter(many).drop(rows), small.filter(~many).drop(rows)
+    others = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return big.join(F.broadcast(hot), keys).unionByName(others)
+
+
+#: Bits of the largest set of ids that is broadcast (8 MB).
+ID_BITS = 1 << 26
+
+
+def may_be_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for a column of ids: true for all in ids.column, and for few others while there are under ID_BITS / 16 ids.
+
+    The ids' hashes set bits of a map of bounded size, made by partial aggregates; larger sets pass more of the others.
+    """
+    spark, bits = ids.sparkSession, 1 << 10
+    n = ids.count()
+    while bits < min(16 * n, ID_BITS):
+        bits *= 2
+    h = F.xxhash64(column)
+    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("p")
+    got = ids.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    words_ = np.zeros(bits >> 6, np.int64)
+    words_[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(words_)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        x, have, mask = h.to_numpy(np.int64).astype(U64), shared.value.view(U64), U64(bits - 1)
+        out = np.ones(len(x), bool)
+        for p in (x & mask, (x >> U64(32)) & mask):
+            out &= (have[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1) == 1
+        return pd.Series(out)
+
+    return lambda x: test(F.xxhash64(x))
