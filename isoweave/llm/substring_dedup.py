@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Scratch, gram_hashes, mix, table, text_blocks, word_hashes, words
 from .suffix_dedup import removed
-from .windows import HOT, Kind, with_ranges
+from .windows import BATCH_WINDOWS, Kind, with_ranges
 
 WIDTH, GRAM = 35, 5
 
@@ -53,28 +53,54 @@ def window_words(n: np.ndarray, first: np.ndarray) -> np.ndarray:
     return first[:-1][string] + np.arange(len(string)) - (np.cumsum(n) - n)[string]
 
 
-def marked_words(strings: list[bytes], n: np.ndarray, group: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def equal_spans(flat: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a are those from b, 8 at a time for all pairs that still agree."""
+    eight = np.ndarray(len(flat) + 1, "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+    same, which, at = np.ones(len(a), bool), np.flatnonzero(n > 0), 0
+    while len(which):
+        short = np.minimum(n[which] - at, 8)
+        differ = (eight[a[which] + at] ^ eight[b[which] + at]) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - short).astype(np.uint64)))
+        same[which[differ != 0]] = False
+        at += 8
+        which = which[(differ == 0) & (n[which] > at)]
+    return same
+
+
+def marked_words(strings: list[bytes], n: np.ndarray, group: np.ndarray, only: np.ndarray | None = None, width: int = WIDTH) -> np.ndarray:
+    """Flags of the windows (those of `only` alone, if given) that occur again in a string of the same group, or again in their own."""
     flat, start, end, h, first = bounds(strings)
-    at = window_words(n, first)
-    key = gram_hashes(h, width)[at] ^ mix(np.repeat(group, n).astype(np.uint64))
-    order = np.argsort(key, kind="stable")
+    at, group = window_words(n, first), np.repeat(group, n)
     flags = np.zeros(len(at), bool)
-    sorted_key = key[order]
-    pair = np.flatnonzero(sorted_key[1:] == sorted_key[:-1])
-    x, y = at[order[pair]], at[order[pair + 1]]
-    spans = zip(start[x].tolist(), end[x + width - 1].tolist(), start[y].tolist(), end[y + width - 1].tolist())
-    same = np.fromiter((flat[a:b] == flat[c:d] for a, b, c, d in spans), bool, len(pair))
-    flags[order[pair[same]]] = flags[order[pair[same] + 1]] = True
+    if only is not None:
+        at, group = at[only], group[only]
+    key = gram_hashes(h, width)[at] ^ mix(group.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    pair = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    got = np.zeros(len(at), bool)
+    for i in range(0, len(pair), 1 << 18):
+        p = pair[i : i + (1 << 18)]
+        p = p[group[order[p]] == group[order[p + 1]]]
+        x, y = at[order[p]], at[order[p + 1]]
+        n_x, n_y = end[x + width - 1] - start[x], end[y + width - 1] - start[y]
+        p = p[(n_x == n_y) & equal_spans(np.frombuffer(flat, np.uint8), start[x], start[y], np.minimum(n_x, n_y))]
+        got[order[p]] = got[order[p + 1]] = True
+    if only is None:
+        return got
+    flags[only] = got
     return flags
 
 
-def word_window_hashes(strings: list[bytes], n: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def word_window_hashes(strings: list[bytes], n: np.ndarray, width: int = WIDTH) -> np.ndarray:
     _, _, _, h, first = bounds(strings)
-    at = window_words(n, first)
-    return gram_hashes(h, width)[at], gram_hashes(mix(h + np.uint64(0xA5A5)), width)[at]
+    return gram_hashes(h, width)[window_words(n, first)]
+
+
+def word_part(string: bytes, width: int = WIDTH) -> Callable[[int, int], bytes]:
+    cut = packer(string)
+    return lambda a, b: cut(a, b - 1 + width)
 
 
-WORDS = Kind(WIDTH, word_grams, GRAM, packer, marked_words, word_window_hashes)
+WORDS = Kind(WIDTH, word_grams, GRAM, packer, marked_words, word_window_hashes, word_part)
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -94,10 +120,10 @@ def cut_words(with_text: bool) -> object:
     return run
 
 
-def dedup_words(docs: DataFrame, scratch: Scratch, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def dedup_words(docs: DataFrame, scratch: Scratch, with_text: bool = False, batch: int = BATCH_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept (the words left; null unless `with_text`)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return with_ranges(plain, WORDS, scratch, hot).mapInArrow(cut_words(with_text), OUT)
+    return with_ranges(plain, WORDS, scratch, batch).mapInArrow(cut_words(with_text), OUT)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

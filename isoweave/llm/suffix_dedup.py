@@ -2,10 +2,11 @@
 
 Texts are bytes of UTF-8. Candidate stretches of window starts come by anchors (see windows.py); within the
 stretches of one anchor the suffixes are sorted. Comparing two suffixes takes a logarithmic number of steps: their
-common extension is found by binary search over prefix polynomial hashes, and the block after it decides. The sort
+common extension is found by binary search over prefix polynomial hashes, and the 8 bytes after it decide. The sort
 merges stably, pass by pass: each run of suffixes that agree so far is extended by the common extension of all its
-members, then ordered by the next 8 bytes, until runs are single or agree in the full width. Suffixes next to each
-other that agree in full are compared byte by byte (8 at a time) before they count.
+members, then ordered by the next 8 bytes, until runs are single or agree in the full width; what comes out is the
+group's suffix array, up to that width. Suffixes next to each other in it whose hashes agree in full are compared
+byte by byte (8 at a time) before they count, so that colliding hashes mark nothing that is not equal.
 
 Defined cases: null and empty texts are 0 bytes, nothing removed. Texts under 200 bytes lose nothing, copies or
 not. doc_id is a key; repeated rows are copies of each other and give a row each. Overlapping strings count, within a document as well; judged on the input, so that all
@@ -20,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, cover, mix, prefix_hash, span_hash, table, text_blocks
-from .windows import HOT, Kind, with_ranges
+from .windows import BATCH_WINDOWS, Kind, with_ranges
 
 WIDTH, GRAM = 200, 48
 
@@ -46,81 +48,81 @@ def lcp(c: np.ndarray, x: np.ndarray, y: np.ndarray, least: np.ndarray, most: in
 
 
 def sorted_suffixes(buf: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that agree with another of their group in `width` bytes: their indexes in sorted runs, and the run of each."""
+    """The indexes of the suffixes `at` in order of group and then of their first `width` bytes, equal ones as they came;
+    and flags of those that, by their hashes, agree in all of these bytes with the one before."""
     c = prefix_hash(buf)
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(buf) + 1, "<u8", padded.tobytes(), strides=(1,))
-    order, run = np.argsort(group, kind="stable"), None
-    run = group[order]
-    depth = np.zeros(len(order), np.int64)
-    done_at, done_run, n_done = [], [], 0
-    while len(order):
-        start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        size = np.diff(np.concatenate((start, [len(order)])))
+    eight = np.ndarray(len(buf) + 1, ">u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    order = np.argsort(group, kind="stable")
+    equal = np.zeros(len(order), bool)
+    # places of the order whose runs of suffixes still have to be told apart, the run of each and what it has in common
+    place = np.arange(len(order))
+    run, depth = group[order], np.zeros(len(order), np.int64)
+    while len(place):
+        turn = np.concatenate(([True], run[1:] != run[:-1]))
+        start = np.flatnonzero(turn)
+        size = np.diff(np.concatenate((start, [len(place)])))
         keep = np.repeat(size > 1, size)
         if not keep.all():
-            order, run, depth = order[keep], run[keep], depth[keep]
-            start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(order) else start[:0]
-            size = np.diff(np.concatenate((start, [len(order)])))
-        if not len(order):
-            break
-        pivot = np.repeat(at[order[start]], size)
-        common = np.repeat(np.minimum.reduceat(lcp(c, at[order], pivot, depth, width), start), size)
+            place, run, depth = place[keep], run[keep], depth[keep]
+            if not len(place):
+                break
+            start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            size = np.diff(np.concatenate((start, [len(place)])))
+        mine = order[place]
+        pivot = np.repeat(at[mine[start]], size)
+        common = np.repeat(np.minimum.reduceat(lcp(c, at[mine], pivot, depth, width), start), size)
         full = common >= width
         if full.any():
-            done_at.append(order[full])
-            done_run.append(n_done + np.cumsum(np.concatenate(([0], (run[full][1:] != run[full][:-1]).astype(np.int64)))))
-            n_done = int(done_run[-1][-1]) + 1
-            order, run, common = order[~full], run[~full], common[~full]
-            if not len(order):
+            equal[place[full]] = True
+            equal[place[start[full[start]]]] = False
+            place, run, common, mine = place[~full], run[~full], common[~full], mine[~full]
+            if not len(place):
                 break
-        block = eight[at[order] + common]
-        left = np.minimum(width - common, 8).astype(np.uint64)  # bytes beyond the width don't count
-        block = block << (np.uint64(8) * (np.uint64(8) - left))
+        # bytes beyond the width don't count
+        block = eight[at[mine] + common].astype(np.uint64) >> (np.uint64(8) * (8 - np.minimum(width - common, 8)).astype(np.uint64))
         again = np.lexsort((block, run))  # stable merges, by run and then by block
-        order, block, run, common = order[again], block[again], run[again], common[again]
+        order[place] = mine[again]
+        block, run, common = block[again], run[again], common[again]
         turn = np.concatenate(([False], (run[1:] != run[:-1]) | (block[1:] != block[:-1])))
         run, depth = np.cumsum(turn), np.minimum(common + 8, width)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(done_at), np.concatenate(done_run)) if done_at else (none, none)
+    return order, equal
 
 
 def equal_bytes(buf: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(buf) + 1, "<u8", padded.tobytes(), strides=(1,))
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
     same = np.ones(len(x), bool)
     for k in [*range(0, width - 7, 8), *([width - 8] if width % 8 and width > 8 else [])]:
         same &= eight[x + k] == eight[y + k]
     return same
 
 
-def marked_bytes(strings: list[bytes], n: np.ndarray, group: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Flags of the windows of all strings that occur again in a string of the same group, or again in their own."""
-    buf = np.frombuffer(b"".join(strings), np.uint8)
-    begin = np.concatenate(([0], np.cumsum(n + width - 1)[:-1]))
-    first = np.cumsum(n) - n
+def window_starts(n: np.ndarray, width: int) -> np.ndarray:
+    """Where each window of the strings, one after the other, begins."""
+    begin = np.concatenate(([0], np.cumsum(n + width - 1)[:-1])).astype(np.int64)
     string = np.repeat(np.arange(len(n)), n)
-    at = begin[string] + np.arange(len(string)) - first[string]
-    order, run = sorted_suffixes(buf, at, group[string], width)
+    return begin[string] + np.arange(len(string)) - (np.cumsum(n) - n)[string]
+
+
+def marked_bytes(strings: list[bytes], n: np.ndarray, group: np.ndarray, only: np.ndarray | None = None, width: int = WIDTH) -> np.ndarray:
+    """Flags of the windows (those of `only` alone, if given) that occur again in a string of the same group, or again in their own."""
+    buf = np.frombuffer(b"".join(strings), np.uint8)
+    at, group = window_starts(n, width), np.repeat(group, n)
     flags = np.zeros(len(at), bool)
-    if len(order):
-        pair = np.flatnonzero(run[1:] == run[:-1])
-        pair = pair[equal_bytes(buf, at[order[pair]], at[order[pair + 1]], width)]
-        flags[order[pair]] = flags[order[pair + 1]] = True
+    which = np.arange(len(at)) if only is None else np.flatnonzero(only)
+    order, equal = sorted_suffixes(buf, at[which], group[which], width)
+    pair = np.flatnonzero(equal)
+    x, y = which[order[pair - 1]], which[order[pair]]
+    same = equal_bytes(buf, at[x], at[y], width)
+    flags[x[same]] = flags[y[same]] = True
     return flags
 
 
-def byte_hashes(strings: list[bytes], n: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b"".join(strings), np.uint8)
-    begin = np.concatenate(([0], np.cumsum(n + width - 1)[:-1])).astype(np.int64)
-    string = np.repeat(np.arange(len(n)), n)
-    at = begin[string] + np.arange(len(string)) - (np.cumsum(n) - n)[string]
-    whole = span_hash(prefix_hash(buf), at, at + width)
-    other = prefix_hash(np.bitwise_xor(buf, np.uint8(0x5A)))
-    return mix(whole), mix(span_hash(other, at, at + width // 2) * np.uint64(0xD6E8FEB86659FD93) + span_hash(other, at + width // 2, at + width))
+def byte_hashes(strings: list[bytes], n: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    at = window_starts(n, width)
+    return mix(span_hash(prefix_hash(np.frombuffer(b"".join(strings), np.uint8)), at, at + width))
 
 
-BYTES = Kind(WIDTH, byte_grams, GRAM, lambda text: lambda a, b: text[a:b], marked_bytes, byte_hashes)
+BYTES = Kind(WIDTH, byte_grams, GRAM, lambda text: lambda a, b: text[a:b], marked_bytes, byte_hashes, lambda s: lambda a, b: s[a : b - 1 + WIDTH])
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -147,12 +149,10 @@ def cut_bytes(with_text: bool) -> object:
     return run
 
 
-def dedup_bytes(docs: DataFrame, scratch: Scratch, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def dedup_bytes(docs: DataFrame, scratch: Scratch, with_text: bool = False, batch: int = BATCH_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left; null unless `with_text`)."""
-    from pyspark.sql import functions as F
-
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return with_ranges(plain, BYTES, scratch, hot).mapInArrow(cut_bytes(with_text), OUT)
+    return with_ranges(plain, BYTES, scratch, batch).mapInArrow(cut_bytes(with_text), OUT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

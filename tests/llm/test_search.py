@@ -5,6 +5,7 @@ from isoweave.llm import decontaminate as D
 from isoweave.llm import jaccard_join as J
 from isoweave.llm import substring_dedup as U
 from isoweave.llm import suffix_dedup as S
+from isoweave.llm import windows as W
 import hashlib
 import re
 from conftest import frame, some_texts
@@ -93,11 +94,11 @@ def test_prefixes_find_all_links():
             assert len(np.intersect1d(x[:p1], y[:p2])) >= min(m1, m2)
 
 
-@pytest.mark.parametrize("hot", [S.HOT, 2])
-def test_suffix_dedup(docs, texts, scratch, hot):
+@pytest.mark.parametrize("batch", [W.BATCH_WINDOWS, 20])
+def test_suffix_dedup(docs, texts, scratch, batch):
     units = {i: (t or "").encode() for i, t in texts.items()}
     gone = brute.repeated(units, S.WIDTH)
-    for r in S.dedup_bytes(docs, scratch, with_text=True, hot=hot).collect():
+    for r in S.dedup_bytes(docs, scratch, with_text=True, batch=batch).collect():
         g = gone[r["doc_id"]]
         kept = bytes(b for b, x in zip(units[r["doc_id"]], g) if not x)
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(g), sum(g), len(re.findall(b"\1+", bytes(g))))
@@ -105,11 +106,11 @@ def test_suffix_dedup(docs, texts, scratch, hot):
     assert any(map(any, gone.values()))
 
 
-@pytest.mark.parametrize("hot", [U.HOT, 2])
-def test_substring_dedup(docs, texts, scratch, hot):
+@pytest.mark.parametrize("batch", [W.BATCH_WINDOWS, 5])
+def test_substring_dedup(docs, texts, scratch, batch):
     units = {i: brute.words(t) for i, t in texts.items()}
     gone = brute.repeated(units, U.WIDTH)
-    for r in U.dedup_words(docs, scratch, with_text=True, hot=hot).collect():
+    for r in U.dedup_words(docs, scratch, with_text=True, batch=batch).collect():
         g = gone[r["doc_id"]]
         kept = " ".join(w for w, x in zip(units[r["doc_id"]], g) if not x)
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(g), sum(g), kept)
@@ -138,3 +139,50 @@ def test_repeated_rows(spark, scratch):
     assert sorted((r["doc_id"], r["n_removed"] == r["n_bytes"]) for r in S.dedup_bytes(d, scratch).collect()) == [(1, True), (1, True), (2, False)]
     assert sorted((r["doc_id"], r["n_removed"]) for r in U.dedup_words(d, scratch).collect()) == [(1, 90), (1, 90), (2, 0)]
     assert sorted((r["doc_id"], r["component_id"]) for r in J.near_duplicates(d, scratch).collect()) == [(1, 1), (1, 1), (2, 2)]
+
+
+def test_hot_anchor(spark, scratch):
+    """A passage that many documents share, each with words of its own around it: many strings of one anchor."""
+    passage = " ".join(f"p{k}" for k in range(45))
+    texts = {i: " ".join(f"a{i}x{k}" for k in range(40)) + " " + passage + " " + " ".join(f"b{i}x{k}" for k in range(40)) for i in range(30)}
+    texts[50] = "the " * 300
+    d = frame(spark, texts)
+    units = {i: brute.words(t) for i, t in texts.items()}
+    want = {i: sum(g) for i, g in brute.repeated(units, 35).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in U.dedup_words(d, scratch, batch=3).collect()} == want
+    units = {i: t.encode() for i, t in texts.items()}
+    want = {i: sum(g) for i, g in brute.repeated(units, 200).items()}
+    assert {r["doc_id"]: r["n_removed"] for r in S.dedup_bytes(d, scratch, batch=30).collect()} == want
+
+
+def test_suffix_order():
+    """The suffixes' order is that of their bytes, and only those of equal bytes count, whatever their hashes."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    buf = r.integers(97, 99, 900).astype(np.uint8)
+    buf[300:600] = buf[:300]
+    at, group = np.arange(0, 900 - 40), r.integers(0, 3, 860)
+    order, equal = S.sorted_suffixes(buf, at, group, 40)
+    key = lambda i: (group[i], buf[at[i] : at[i] + 40].tobytes())
+    assert order.tolist() == sorted(range(860), key=lambda i: (*key(i), i))
+    assert equal.tolist() == [bool(k) and key(order[k]) == key(order[k - 1]) for k in range(860)]
+    # a Thue-Morse string and its complement have the same polynomial hash whatever the base
+    tm = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = bytes(97 + x for x in tm), bytes(98 - x for x in tm)
+    assert S.byte_hashes([a, b], np.array([1, 1]), 2048)[0] == S.byte_hashes([a, b], np.array([1, 1]), 2048)[1]
+    assert not S.marked_bytes([a, b], np.array([1, 1]), np.array([0, 0]), None, 2048).any()
+    assert S.marked_bytes([a, a], np.array([1, 1]), np.array([0, 0]), None, 2048).all()
+
+
+def test_word_hashes_of_crafted_words():
+    import numpy as np
+
+    from isoweave.llm.common import SPACED, word_hashes, words
+
+    tm = [bin(k).count("1") % 2 for k in range(2048)]
+    text = b" ".join([bytes(97 + x for x in tm), bytes(98 - x for x in tm), b"a", b"aa", b"a" * 8, b"a" * 9, b"a" * 300, b"a" * 301, b"a" * 300])
+    buf = np.frombuffer(text, np.uint8)
+    start, end, _ = words(buf, np.array([0, len(buf)]), SPACED)
+    h = word_hashes(buf, start, end)
+    assert len(np.unique(h)) == 8 and h[6] == h[8]
