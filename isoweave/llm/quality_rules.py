@@ -7,8 +7,8 @@ that stand in it twice or more. The method's verdict: the words and pairs of nei
 trusted texts (target); a document's score is the mean over its n-grams of log(target / raw), and it is kept if
 that is at least `threshold`. Counting takes every document; what comes to the driver is one number per bucket.
 
-Defined cases: null and empty texts have no words, score 0 and fail the base rules. Ties at the threshold are
-kept. Repeated rows are judged each by itself. Extra columns are ignored, and returned by `quality_filter`.
+Defined cases: null and empty texts have no words, score 0 and fail the base rules. Texts of any length are taken
+whole; windows are sorted, so the work grows as n log n at most. Ties at the threshold are kept. Repeated rows are judged each by itself. Extra columns are ignored, and returned by `quality_filter`.
 With no trusted n-gram at all the ratio is flat and every document that passes the base rules is kept.
 """
 
@@ -37,18 +37,21 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.select("*", word_list(F.col(text)).alias("_words"), F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("_lines"))
     out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     out = out.select("*", F.size("_words").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines")).drop("_lines")
-    out = out.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
+    out = out.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     at = lambda i: F.xxhash64(*(F.get("_hash", i + j) for j in range(5)))
     out = out.withColumn("_windows", F.when(F.col("n_words") > 5, F.transform(F.sequence(F.lit(0), F.size("_hash") - 5), at)))
-    # a document whose windows all differ, as most do, is done here; the others look up which windows repeat
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort("_windows")))
-    twice = F.array_distinct(F.filter(F.transform(F.slice("_sorted", 2, F.size("_sorted")), lambda x, i: F.when(F.get("_sorted", i) == x, x)), lambda x: x.isNotNull()))
-    out = out.withColumn("_twice", F.when(F.col("_sorted").isNotNull(), F.map_from_arrays(twice, twice)))
-    # fold over the window starts: words covered so far and the end of the last covered stretch
+    # a document whose windows all differ, as most do, is done here; those of others are sorted with their places, and
+    # neighbours of equal hashes are compared as words
+    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    out = out.withColumn("_sorted", F.when(again, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    words = lambda i: F.slice("_words", i + 1, 5)
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (words(x["i"]) == words(y["i"])), F.lit(False))
+    near = F.transform("_sorted", lambda x, k: F.when((k > 0) & same(x, F.get("_sorted", k - 1)) | same(x, F.get("_sorted", k + 1)), x["i"]))
+    out = out.withColumn("_hit", F.array_sort(F.filter(near, lambda i: i.isNotNull())))
+    # fold over the starts of repeated windows: words covered so far and the end of the last covered stretch
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    hit = F.filter(F.transform("_windows", lambda x, i: F.when(F.map_contains_key("_twice", x), i)), lambda i: i.isNotNull())
-    covered = F.aggregate(hit, start, lambda a, i: F.struct((a["n"] + i + 5 - F.greatest(a["end"], i)).alias("n"), (i + 5).alias("end")), lambda a: a["n"])
-    return out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_twice").isNotNull(), covered), F.lit(0)).cast("long")).drop("_sorted", "_twice", "_windows")
+    covered = F.aggregate("_hit", start, lambda a, i: F.struct((a["n"] + i + 5 - F.greatest(a["end"], i)).alias("n"), (i + 5).alias("end")), lambda a: a["n"])
+    return out.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_hit").isNotNull(), covered), F.lit(0)).cast("long")).drop("_sorted", "_hit", "_windows", "_words")
 
 
 def with_grams(frame: DataFrame, buckets: int) -> DataFrame:

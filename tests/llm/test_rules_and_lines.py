@@ -130,3 +130,36 @@ def test_chunks_have_two_lines(spark, docs, texts, scratch, tmp_path):
 
 def test_line_dedup_of_nothing(empty, scratch):
     assert L.dedup_lines(empty, scratch).count() == 0
+
+
+def test_line_dedup_of_repeated_rows_and_clashing_names(spark, scratch):
+    """Rows that stand twice, null ids, and columns named as the operator's own."""
+    copy = "\n".join(f"line {k} of a copy" for k in range(40))
+    schema = "_lines string, doc_id long, text string, _gone int, _kept string, _id long, _n_removed int, hash string"
+    rows = [("own", i, t, 1, "k", 9, 5, "h") for i, t in ((2, copy), (2, copy), (1, copy), (1, copy), (3, None), (3, None), (None, "x\ny"), (4, copy), (4, "a\n" + copy + "\nb"), (5, ""))]
+    out = L.dedup_lines(spark.createDataFrame(rows, schema), scratch, least=2)
+    assert out.columns[:8] == ["_lines", "doc_id", "text", "_gone", "_kept", "_id", "_n_removed", "hash"]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows) and {(r[0], *r[3:8]) for r in got} == {("own", 1, "k", 9, 5, "h")}
+    texts = {i: [r[2] for r in got if r[1] == i] for i in (1, 2, 3, 4, 5, None)}
+    assert texts[1] == [copy, copy] and texts[3] == [None, None] and texts[5] == [""] and texts[None] == ["x\ny"]
+    assert len(texts[2]) == 2 and texts[2][0] == texts[2][1] and len(texts[2][0]) < 40
+    assert sorted(map(len, texts[4]))[0] < 40
+
+
+def test_long_text_that_repeats(spark):
+    """A text said twice: the work must not grow with its square."""
+    import time
+
+    half = " ".join(f"w{k}" for k in range(60_000))
+    rows = spark.createDataFrame([(1, half + " " + half), (2, half)], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in R.quality_scores(rows, rows.limit(1)).collect()}
+    assert got == {1: (120_000, 120_000, True), 2: (60_000, 0, False)}
+    assert time.time() - start < 60
+
+
+def test_rules_of_repeated_rows(spark, trusted):
+    rows = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l"), (None, "a b"), (2, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["base_failed"]) for r in R.quality_scores(rows, trusted).collect())
+    assert got == [("1", 12, False), ("1", 12, False), ("2", 0, True), ("None", 2, True)]
