@@ -60,7 +60,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, window: int = WINDOW, div
     marks = scratch.cut(split.select("_id", F.explode_outer("_chunks").alias("c")).filter("c IS NOT NULL").select("_id", "c.at", "c.n", "c.hash"))
     often = scratch.cut(marks.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"))
     wanted = hot_join(marks, often, ["hash"], "k", marks.count()).distinct().groupBy("_id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("_want"))
-    texts = docs.select("_id", "_text").join(wanted, "_id").select("_id", F.split("_text", "\n").alias("_lines"), "_want")
+    texts = docs.select("_id", "_text").join(wanted.hint("merge"), "_id").select("_id", F.split("_text", "\n").alias("_lines"), "_want")
     texts = texts.select("_id", F.explode_outer(F.transform("_want", lambda c: F.struct(c["at"], c["n"], c["hash"], F.array_join(F.slice("_lines", c["at"] + 1, c["n"]), "\n").alias("bytes")))).alias("c"))
     texts = scratch.cut(texts.filter("c IS NOT NULL").select("_id", "c.at", "c.n", "c.hash", "c.bytes").filter(F.translate("bytes", " \t\n\x0b\f\r", "") != ""))
     scratch.drop(marks, often)
@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     # rows of one doc_id with different texts are different documents
     rows = rows.withColumn("_id", F.struct(F.col(names[docs.columns.index(doc_id)]).alias("id"), F.xxhash64(names[at]).alias("h"))).withColumnRenamed(names[at], "_text")
     gone = repeated_chunks(rows.select("_id", "_text"), scratch, window, divisor, least)
-    out = rows.join(gone, "_id", "left").withColumn("_lines", F.split("_text", "\n"))
+    # neither side has a bound, so neither is broadcast, at any size
+    out = rows.join(gone.hint("merge"), "_id", "left").withColumn("_lines", F.split("_text", "\n"))
     # the removed chunks are disjoint and in order: what stays are the stretches between them
     till = lambda i: F.coalesce(F.get("_gone", i)["at"], F.size("_lines"))
     since = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1)["at"] + F.get("_gone", i - 1)["n"])
