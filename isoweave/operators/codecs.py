@@ -107,19 +107,30 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+def crc32c_all(blobs: list[bytes]) -> np.ndarray:
+    """Castagnoli's checksum of each blob; a step takes the next byte of all that are as long."""
+    n = np.array([len(b) for b in blobs], np.int64)
+    order = np.argsort(-n, kind="stable")
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    at = (np.cumsum(n) - n)[order]
+    c, table_ = np.full(len(blobs), 0xFFFFFFFF, np.uint32), np.array(_CRC, np.uint32)
+    active = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left")
+    for i, k in enumerate(active.tolist()):
+        c[:k] = table_[(c[:k] ^ data[at[:k] + i]) & 0xFF] ^ (c[:k] >> np.uint32(8))
+    out = np.empty(len(blobs), np.int64)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 def crc32c(data: bytes) -> int:
-    """Castagnoli's checksum."""
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC[(c ^ b) & 0xFF] ^ c >> 8
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_all([data])[0])
 
 
-BLOBS = "dtype int, side int, codec int, blob binary, size int, crc long, exact boolean"
+BLOBS = "dtype int, side int, codec int, blob binary, size int, crc long, exact boolean, total long"
 
 
 def encoded(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows with keys, dtype and codes (array<int>, null for missing): the blob, its codec, size and CRC32C, and whether it decodes to the same codes."""
+    """Of rows with keys, dtype and codes (array<int>, null for missing): the blob, its codec, size and CRC32C, whether it decodes to the same codes, and their sum as decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +140,12 @@ def encoded(tiles: DataFrame, keys: list[str]) -> DataFrame:
                 x = np.array([(1 << 8 * dtype.itemsize) - 1 if c is None else c for c in codes]).astype(dtype)
                 side = int(round(len(x) ** 0.5))
                 blob = encode(x, side)
-                out.append((kind, side, blob[0], blob, len(blob), crc32c(blob), bool((decode(blob, len(x), side, dtype) == x).all())))
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
+                back = decode(blob, len(x), side, dtype)
+                out.append((kind, side, blob[0], blob, len(blob), None, bool((back == x).all()), int(back.astype(np.int64).sum())))
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
             cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, "dtype", "side", "codec", "blob", "size", "crc", "exact"])
+            cols[5] = pa.array(crc32c_all([r[3] for r in out]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, "dtype", "side", "codec", "blob", "size", "crc", "exact", "total"])
 
     kinds = ", ".join(f"{k} {dict(tiles.dtypes)[k]}" for k in keys)
     return tiles.select(*keys, "dtype", "codes").mapInArrow(run, f"{kinds}, {BLOBS}")

@@ -67,11 +67,11 @@ def key_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("decoded", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-_BLOBS = "b AS (SELECT l_suppkey AS block, l_orderkey * 10 + l_linenumber AS tile, 10 + l_quantity::BIGINT AS length, row_number() OVER (PARTITION BY l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_partkey) AS r FROM lineitem WHERE l_orderkey % 4 = 0)"
+_BLOBS = "b AS (SELECT l_suppkey AS block, l_orderkey * 10 + l_linenumber AS tile, 10 + l_quantity::BIGINT AS length, row_number() OVER (PARTITION BY l_suppkey, l_orderkey * 10 + l_linenumber ORDER BY l_partkey) AS r FROM lineitem)"
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.select(F.col("l_suppkey").alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tile"), (10 + F.col("l_quantity").cast("long")).alias("length"), "l_partkey")
     return rows.groupBy("block", "tile").agg(F.min_by("length", F.struct("l_partkey", "length")).alias("length"))
 
@@ -146,7 +146,7 @@ def already_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(first, ["variable", "time_id"]).groupBy("generation").agg(F.count("*").alias("submitted"), F.count_if(F.col("first") < F.col("generation")).alias("already_present"))
 
 
-_LATE = f"WITH {OBS_SQL}, base AS (SELECT DISTINCT ts FROM obs WHERE day(ts) BETWEEN 5 AND 20 AND hour(ts) % 2 = 0), fresh AS (SELECT variable, ts, count(*)::BIGINT AS n FROM obs WHERE user_id % 3 = 0 GROUP BY ALL)"
+_LATE = f"WITH {OBS_SQL}, base AS (SELECT DISTINCT ts FROM obs WHERE day(ts) BETWEEN 5 AND 20 AND hour(ts) % 2 = 0), fresh AS (SELECT variable, ts, count(*)::BIGINT AS n FROM obs GROUP BY ALL)"
 
 
 @query(_LATE + " SELECT f.variable, f.ts, f.n, CASE WHEN f.ts IN (SELECT ts FROM base) THEN 'reuse' WHEN f.ts < (SELECT max(ts) FROM base) THEN 'late' ELSE 'append' END AS fate FROM fresh f")
@@ -154,10 +154,10 @@ def late_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of an append: known ones are reused, later ones appended, earlier unknown ones are late."""
     o = obs(spark, sf_dir)
     base = o.filter("day(ts) BETWEEN 5 AND 20 AND hour(ts) % 2 = 0").select("ts").distinct()
-    last = base.agg(F.max("ts").alias("last"))
-    fresh = o.filter("user_id % 3 = 0").groupBy("variable", "ts").agg(F.count("*").alias("n"))
-    out = fresh.join(base.withColumn("known", F.lit(True)), "ts", "left").join(last, how="inner", on=F.lit(True))
-    return out.select("variable", "ts", "n", F.when(F.col("known"), "reuse").when(F.col("ts") < F.col("last"), "late").otherwise("append").alias("fate"))
+    last = base.agg(F.max("ts")).scalar()
+    fresh = o.groupBy("variable", "ts").agg(F.count("*").alias("n"))
+    out = fresh.join(base.withColumn("known", F.lit(True)), "ts", "left")
+    return out.select("variable", "ts", "n", F.when(F.col("known"), "reuse").when(F.col("ts") < last, "late").otherwise("append").alias("fate"))
 
 
 @query(f"WITH {CELLS_SQL}, d AS (SELECT variable, time_id, gy, gx, row_number() OVER (PARTITION BY variable, gy, gx ORDER BY value DESC, time_id) AS r, count(*) OVER (PARTITION BY variable, gy, gx) AS n FROM cells) SELECT variable, gy, gx, time_id AS kept, n - 1 AS dropped FROM d WHERE r = 1")
@@ -168,20 +168,20 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("variable", "gy", "gx").agg(best.alias("kept"), (F.count("*") - 1).alias("dropped"))
 
 
-@query(f"WITH {CELLS_SQL}, s AS (SELECT DISTINCT variable, time_id FROM cells WHERE gx < 3 AND gy < 2 AND value > 80000), t AS (SELECT DISTINCT variable, time_id FROM cells WHERE gx > 16 AND gy < 2 AND value > 80000) SELECT 'union' AS op, * FROM (SELECT * FROM s UNION SELECT * FROM t) UNION ALL SELECT 'intersect', * FROM (SELECT * FROM s INTERSECT SELECT * FROM t) UNION ALL SELECT 'except', * FROM (SELECT * FROM s EXCEPT SELECT * FROM t)")
+@query(f"WITH {CELLS_SQL}, s AS (SELECT DISTINCT variable, time_id, gy FROM cells WHERE gx < 10 AND value > 90000), t AS (SELECT DISTINCT variable, time_id, gy FROM cells WHERE gx >= 10 AND value > 90000) SELECT 'union' AS op, * FROM (SELECT * FROM s UNION SELECT * FROM t) UNION ALL SELECT 'intersect', * FROM (SELECT * FROM s INTERSECT SELECT * FROM t) UNION ALL SELECT 'except', * FROM (SELECT * FROM s EXCEPT SELECT * FROM t)")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of two inputs: all, shared and missing ones. One grouping answers all three."""
-    c = present_cells(spark, sf_dir).filter("gy < 2 AND value > 80000 AND (gx < 3 OR gx > 16)")
-    k = c.groupBy("variable", "time_id").agg(F.bool_or(F.col("gx") < 3).alias("s"), F.bool_or(F.col("gx") > 16).alias("t"))
+    """Rows of blocks with high values in the west and in the east half, as two inputs: all, shared and missing ones. One grouping answers all three."""
+    c = present_cells(spark, sf_dir).filter("value > 90000")
+    k = c.groupBy("variable", "time_id", "gy").agg(F.bool_or(F.col("gx") < 10).alias("s"), F.bool_or(F.col("gx") >= 10).alias("t"))
     ops = F.array_compact(F.array(F.lit("union"), F.when(F.col("s") & F.col("t"), "intersect"), F.when(F.col("s") & ~F.col("t"), "except")))
-    return k.select(F.explode(ops).alias("op"), "variable", "time_id")
+    return k.select(F.explode(ops).alias("op"), "variable", "time_id", "gy")
 
 
-@query(f"WITH {TILES_SQL}, need AS (SELECT DISTINCT x // 4 AS cx, y // 4 AS cy FROM tiles WHERE variable < 5), cached AS (SELECT DISTINCT x // 4 AS cx, y // 4 AS cy FROM tiles WHERE variable = 7) SELECT * FROM need EXCEPT SELECT * FROM cached")
+@query(f"WITH {TILES_SQL}, need AS (SELECT DISTINCT variable, x // 4 AS cx, y // 4 AS cy FROM tiles), cached AS (SELECT DISTINCT variable + 1 AS variable, x // 4 AS cx, y // 4 AS cy FROM tiles) SELECT * FROM need EXCEPT SELECT * FROM cached")
 def chunk_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct coarse cells that are needed and not held yet."""
-    t = tile_arrays(spark, sf_dir).select("variable", F.expr("x DIV 4").alias("cx"), F.expr("y DIV 4").alias("cy"))
-    return t.filter("variable < 5").select("cx", "cy").distinct().join(t.filter("variable = 7").select("cx", "cy").distinct(), ["cx", "cy"], "left_anti")
+    """Distinct coarse cells of each variable that the variable before doesn't hold yet."""
+    t = tile_arrays(spark, sf_dir).select("variable", F.expr("x DIV 4").alias("cx"), F.expr("y DIV 4").alias("cy")).distinct()
+    return t.join(t.withColumn("variable", F.col("variable") + 1), ["variable", "cx", "cy"], "left_anti")
 
 
 @query(f"WITH {OBS_SQL}, s AS (SELECT DISTINCT ts FROM obs WHERE variable = 'click'), t AS (SELECT DISTINCT ts FROM obs WHERE variable = 'error') SELECT ts FROM (SELECT * FROM s EXCEPT SELECT * FROM t) ORDER BY ts LIMIT 10")
@@ -193,11 +193,11 @@ def unmatched_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ranges
 
-_RANGES = "r AS (SELECT l_suppkey AS file, (l_orderkey * 4096 + l_linenumber * 512 + l_partkey) AS off, 64 + l_quantity::BIGINT * 40 AS len FROM lineitem WHERE l_suppkey % 10 = 3)"
+_RANGES = "r AS (SELECT l_suppkey AS file, (l_orderkey * 4096 + l_linenumber * 512 + l_partkey) AS off, 64 + l_quantity::BIGINT * 40 AS len FROM lineitem)"
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 3")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 4096 + F.col("l_linenumber") * 512 + F.col("l_partkey")).alias("off"), (64 + F.col("l_quantity").cast("long") * 40).alias("len"))
 
 

@@ -71,11 +71,11 @@ def simple_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(unpacked(F.col("user_id") * 31 % 4096, F.lit(250.5), F.col("event_id") % 7 - 3, F.col("event_id") % 3), 6).alias("value"))
 
 
-@query(f"WITH {GRID_SQL}, c AS (SELECT variable, time_id, gx // 5 AS cx, gy // 5 AS cy, string_agg(coalesce(floor(value / 20000)::INT::VARCHAR, '-'), '' ORDER BY gy, gx) AS blob FROM grid WHERE gy % 5 = 0 GROUP BY ALL) SELECT variable, count(*)::BIGINT AS chunks, count(DISTINCT blob)::BIGINT AS contents, sum(length(blob))::BIGINT AS bytes FROM c GROUP BY variable")
+@query(f"WITH {GRID_SQL}, c AS (SELECT variable, time_id, gx // 5 AS cx, gy // 5 AS cy, string_agg(coalesce(floor(value / 20000)::INT::VARCHAR, '-'), '' ORDER BY gy, gx) AS blob FROM grid GROUP BY ALL) SELECT variable, count(*)::BIGINT AS chunks, count(DISTINCT blob)::BIGINT AS contents, sum(length(blob))::BIGINT AS bytes FROM c GROUP BY variable")
 def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the raw grid with equal contents."""
     code = F.coalesce(F.floor(F.col("value") / 20000).cast("int").cast("string"), F.lit("-"))
-    g = grid(spark, sf_dir).filter("gy % 5 = 0").select("variable", "time_id", F.expr("gx DIV 5").alias("cx"), F.expr("gy DIV 5").alias("cy"), F.struct("gy", "gx", code.alias("c")).alias("s"))
+    g = grid(spark, sf_dir).select("variable", "time_id", F.expr("gx DIV 5").alias("cx"), F.expr("gy DIV 5").alias("cy"), F.struct("gy", "gx", code.alias("c")).alias("s"))
     c = g.groupBy("variable", "time_id", "cx", "cy").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]), "").alias("blob"))
     per = c.groupBy("variable", "blob").agg(F.count("*").alias("n"))
     return per.groupBy("variable").agg(F.sum("n").alias("chunks"), F.count("*").alias("contents"), F.sum(F.col("n") * F.length("blob")).alias("bytes"))
@@ -122,11 +122,11 @@ def axis_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", "x", "below", F.round((F.col("x") - lo) / (hi - lo) + F.col("below") - 1, 6).alias("position"))
 
 
-@query(f"WITH {CELLS_SQL}, p AS (SELECT variable, time_id, gy, gx, value, sum(value) OVER (PARTITION BY variable, time_id, gy ORDER BY gx) AS r FROM cells) SELECT variable, time_id, gy, gx, round(r, 2) AS running FROM p WHERE time_id = 2")
+@query(f"WITH {CELLS_SQL}, p AS (SELECT variable, time_id, gy, gx, value, sum(value) OVER (PARTITION BY variable, time_id, gy ORDER BY gx) AS r FROM cells) SELECT variable, time_id, gy, gx, round(r, 2) AS running FROM p")
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums along rows, as decoding differences takes them."""
     from pyspark.sql import Window
 
-    c = present_cells(spark, sf_dir).filter("time_id = 2")
+    c = present_cells(spark, sf_dir)
     w = Window.partitionBy("variable", "time_id", "gy").orderBy("gx")
     return c.select("variable", "time_id", "gy", "gx", F.round(F.sum("value").over(w), 2).alias("running"))

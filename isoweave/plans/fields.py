@@ -118,30 +118,31 @@ STEPS = 6
 
 
 @query(
-    f"WITH RECURSIVE {CELLS_SQL}, w AS (SELECT gy, gx, max(CASE WHEN variable = 'A' THEN value END) / 100000 - 0.5 AS u, max(CASE WHEN variable = 'N' THEN value END) / 100000 - 0.5 AS v FROM cells WHERE time_id = 3 GROUP BY ALL), "
-    "f AS (SELECT p_partkey AS particle, 0 AS step, (p_partkey % 20)::DOUBLE AS x, (p_partkey * 7 % 20)::DOUBLE AS y FROM part UNION ALL SELECT particle, step + 1, x + w.u, y - w.v FROM f JOIN w ON w.gx = floor(x) AND w.gy = floor(y) WHERE step < 6 AND w.u IS NOT NULL AND w.v IS NOT NULL) "
-    "SELECT particle, max(step)::INT AS steps, round(arg_max(x, step), 4) AS x, round(arg_max(y, step), 4) AS y FROM f GROUP BY particle"
+    f"WITH RECURSIVE {CELLS_SQL}, w AS (SELECT time_id, gy, gx, max(CASE WHEN variable = 'A' THEN value END) / 100000 - 0.5 AS u, max(CASE WHEN variable = 'N' THEN value END) / 100000 - 0.5 AS v FROM cells GROUP BY ALL), "
+    "f AS (SELECT p_partkey AS particle, t.time_id, 0 AS step, (p_partkey % 20)::DOUBLE AS x, (p_partkey * 7 % 20)::DOUBLE AS y FROM part CROSS JOIN (SELECT DISTINCT time_id FROM w) t UNION ALL SELECT particle, f.time_id, step + 1, x + w.u, y - w.v FROM f JOIN w ON w.time_id = f.time_id AND w.gx = floor(x) AND w.gy = floor(y) WHERE step < 6 AND w.u IS NOT NULL AND w.v IS NOT NULL) "
+    "SELECT particle, time_id, max(step)::INT AS steps, round(arg_max(x, step), 4) AS x, round(arg_max(y, step), 4) AS y FROM f GROUP BY particle, time_id"
 )
 def advection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Particles carried by the wind for a fixed number of steps; they stop off the grid or where it is missing.
+    """Particles carried by each month's wind for a fixed number of steps; they stop off the grid or where it is missing.
 
-    The field is small (one block's cells) and goes along as a map in one row, so no step shuffles the particles.
+    The fields are small (400 cells a month) and go along as one value, arrays by cell, so no step shuffles the particles.
     """
-    c = present_cells(spark, sf_dir).filter("time_id = 3")
     part = lambda k: F.max(F.when(F.col("variable") == k, F.col("value"))) / 100000 - 0.5
-    w = c.groupBy("gy", "gx").agg(part("A").alias("u"), part("N").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    field = w.agg(F.map_from_entries(F.collect_list(F.struct((F.col("gy") * 20 + F.col("gx")).alias("k"), F.struct("u", "v")))).alias("field"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("particle"), F.struct((F.col("p_partkey") % 20).cast("double").alias("x"), (F.col("p_partkey") * 7 % 20).cast("double").alias("y"), F.lit(0).alias("n"), F.lit(True).alias("alive")).alias("s"))
-    p = p.join(F.broadcast(field), how="inner", on=F.lit(True))  # one row of at most 400 cells
+    w = present_cells(spark, sf_dir).groupBy("time_id", "gy", "gx").agg(part("A").alias("u"), part("N").alias("v"))
+    cells = w.groupBy("time_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("gy") * 20 + F.col("gx")).alias("k"), F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("u", "v"))))).alias("m"))
+    cells = cells.select("time_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long")), lambda k: F.try_element_at("m", k)).alias("field"))
+    fields = cells.agg(F.collect_list(F.struct("time_id", "field"))).scalar()
+    start = F.struct((F.col("p_partkey") % 20).cast("double").alias("x"), (F.col("p_partkey") * 7 % 20).cast("double").alias("y"), F.lit(0).alias("n"), F.lit(True).alias("alive"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(fields).alias("f")).select("p_partkey", "f.*").select(F.col("p_partkey").alias("particle"), "time_id", "field", start.alias("s"))
 
     def step(a: Column, _: Column) -> Column:
         inside = a["x"].between(0, 19.999999999) & a["y"].between(0, 19.999999999)
-        wind_ = F.when(inside, F.col("field")[(F.floor(a["y"]) * 20 + F.floor(a["x"])).cast("long")])
+        wind_ = F.when(inside, F.get("field", (F.floor(a["y"]) * 20 + F.floor(a["x"])).cast("int")))
         go = a["alive"] & wind_.isNotNull()
         return F.struct(F.when(go, a["x"] + wind_["u"]).otherwise(a["x"]).alias("x"), F.when(go, a["y"] - wind_["v"]).otherwise(a["y"]).alias("y"), F.when(go, a["n"] + 1).otherwise(a["n"]).alias("n"), go.alias("alive"))
 
-    end = p.select("particle", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("s"), step).alias("e"))
-    return end.select("particle", F.col("e.n").alias("steps"), F.round("e.x", 4).alias("x"), F.round("e.y", 4).alias("y"))
+    end = p.select("particle", "time_id", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("s"), step).alias("e"))
+    return end.select("particle", "time_id", F.col("e.n").alias("steps"), F.round("e.x", 4).alias("x"), F.round("e.y", 4).alias("y"))
 
 
 @query(f"WITH {OBS_SQL}, s AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM obs GROUP BY variable) SELECT variable, round(CASE WHEN lo = hi THEN lo - 1 ELSE lo END, 6) AS lo, round(CASE WHEN lo = hi THEN hi + 1 ELSE hi END, 6) AS hi FROM s")

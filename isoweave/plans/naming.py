@@ -18,17 +18,17 @@ def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", N.sanitized(F.col("p_name")).alias("name"), N.sanitized(F.col("p_type")).alias("kind"))
 
 
-@query(f"WITH n AS (SELECT p_partkey, {_SANE.format('p_brand')} AS name FROM part WHERE p_size < 8), c AS (SELECT *, count(*) OVER (PARTITION BY name) AS k, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS r FROM n) SELECT p_partkey, CASE WHEN k > 1 THEN name || '_' || r::VARCHAR ELSE name END AS name FROM c")
+@query(f"WITH n AS (SELECT p_partkey, {_SANE.format('p_brand')} AS name FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY name) AS k, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS r FROM n) SELECT p_partkey, CASE WHEN k > 1 THEN name || '_' || r::VARCHAR ELSE name END AS name FROM c")
 def name_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that collide get a suffix in order."""
     w = Window.partitionBy("name")
-    n = table(spark, sf_dir, "part").filter("p_size < 8").select("p_partkey", N.sanitized(F.col("p_brand")).alias("name"))
+    n = table(spark, sf_dir, "part").select("p_partkey", N.sanitized(F.col("p_brand")).alias("name"))
     c = n.select("*", F.count("*").over(w).alias("k"), F.row_number().over(w.orderBy("p_partkey")).alias("r"))
     return c.select("p_partkey", F.when(F.col("k") > 1, F.concat_ws("_", "name", F.col("r").cast("string"))).otherwise(F.col("name")).alias("name"))
 
 
 _LEVELS = ["surface", "isobaricInhPa", "heightAboveGround", "depthBelowLandLayer", "tropopause", "potentialVorticity", "hybrid", "cloudBase", "mySpecial Level", "sigmaLayer"]
-_LEVEL_SQL = "lv AS (SELECT l_orderkey, l_linenumber, l_partkey, [" + ", ".join(f"'{x}'" for x in _LEVELS) + "][(l_partkey % 10 + 1)::INT] AS kind, CASE WHEN l_suppkey % 5 = 0 THEN 2147483648 + l_suppkey ELSE l_suppkey % 1000 END AS level, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey + 10 END AS bottom FROM lineitem WHERE l_linenumber = 1)"
+_LEVEL_SQL = "lv AS (SELECT l_orderkey, l_linenumber, l_partkey, [" + ", ".join(f"'{x}'" for x in _LEVELS) + "][(l_partkey % 10 + 1)::INT] AS kind, CASE WHEN l_suppkey % 5 = 0 THEN 2147483648 + l_suppkey ELSE l_suppkey % 1000 END AS level, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey + 10 END AS bottom FROM lineitem)"
 
 
 @query(
@@ -37,7 +37,7 @@ _LEVEL_SQL = "lv AS (SELECT l_orderkey, l_linenumber, l_partkey, [" + ", ".join(
 )
 def level_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suffix that a level gives a variable's name."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     kind = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("l_partkey") % 10 + 1).cast("int"))
     lv = li.select(kind.alias("kind"), F.when(F.col("l_suppkey") % 5 == 0, F.lit(2147483648) + F.col("l_suppkey")).otherwise(F.col("l_suppkey") % 1000).alias("level"), F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey") + 10).alias("bottom")).distinct()
     return lv.withColumn("suffix", N.level_suffix(F.col("kind"), F.col("level"), F.col("bottom")))
@@ -64,11 +64,11 @@ def variable_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("s_suppkey", F.round(step, 9).alias("step"), source.alias("source"))
 
 
-@query("WITH s AS (SELECT s_nationkey, ['auto', 'cap', 'default', 'override'][(s_suppkey % 4 + 1)::INT] AS source FROM supplier WHERE s_suppkey % 4 <> 3 OR s_suppkey % 9 = 0) SELECT s_nationkey, CASE min(CASE source WHEN 'override' THEN 0 WHEN 'auto' THEN 1 WHEN 'cap' THEN 2 ELSE 3 END) WHEN 0 THEN 'override' WHEN 1 THEN 'auto' WHEN 2 THEN 'cap' ELSE 'default' END AS source FROM s GROUP BY s_nationkey")
+@query("WITH s AS (SELECT s_nationkey, ['auto', 'cap', 'default', 'override'][(s_suppkey % 4 + 1)::INT] AS source FROM supplier) SELECT s_nationkey, CASE min(CASE source WHEN 'override' THEN 0 WHEN 'auto' THEN 1 WHEN 'cap' THEN 2 ELSE 3 END) WHEN 0 THEN 'override' WHEN 1 THEN 'auto' WHEN 2 THEN 'cap' ELSE 'default' END AS source FROM s GROUP BY s_nationkey")
 def dominant_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a variable's blocks the source that wins."""
     order = ["override", "auto", "cap", "default"]
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 != 3 OR s_suppkey % 9 = 0")
+    s = table(spark, sf_dir, "supplier")
     src = F.element_at(F.array(*map(F.lit, ("auto", "cap", "default", "override"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     rank = F.array_position(F.array(*map(F.lit, order)), src)
     return s.groupBy("s_nationkey").agg(F.element_at(F.array(*map(F.lit, order)), F.min(rank).cast("int")).alias("source"))
@@ -124,10 +124,10 @@ def level_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", kind.alias("kind"), level.alias("level"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) ELSE printf('%.1f MiB', b / 1048576.0::DOUBLE) END AS size_, format('{:,}', b) AS grouped FROM (SELECT *, floor(l_extendedprice * l_linenumber * l_quantity)::BIGINT AS b FROM lineitem WHERE l_suppkey % 10 = 1)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) ELSE printf('%.1f MiB', b / 1048576.0::DOUBLE) END AS size_, format('{:,}', b) AS grouped FROM (SELECT *, floor(l_extendedprice * l_linenumber * l_quantity)::BIGINT AS b FROM lineitem)")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and counts for people."""
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 1").withColumn("b", F.floor(F.col("l_extendedprice") * F.col("l_linenumber") * F.col("l_quantity")))
+    li = table(spark, sf_dir, "lineitem").withColumn("b", F.floor(F.col("l_extendedprice") * F.col("l_linenumber") * F.col("l_quantity")))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.human_size(F.col("b")).alias("size_"), F.format_number("b", 0).alias("grouped"))
 
 
@@ -137,10 +137,10 @@ def name_hash(s: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFF))
 
 
-@query("WITH RECURSIVE h AS (SELECT p_partkey, p_name AS s, 1 AS i, 0::BIGINT AS h FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT p_partkey, s, i + 1, (h * 31 + ascii(substr(s, i, 1))) & 4294967295 FROM h WHERE i <= length(s)) SELECT p_partkey, h & 255 AS code FROM h WHERE i = length(s) + 1")
+@query("WITH RECURSIVE h AS (SELECT p_partkey, p_name AS s, 1 AS i, 0::BIGINT AS h FROM part UNION ALL SELECT p_partkey, s, i + 1, (h * 31 + ascii(substr(s, i, 1))) & 4294967295 FROM h WHERE i <= length(s)) SELECT p_partkey, h & 255 AS code FROM h WHERE i = length(s) + 1")
 def name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A byte for each name."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select("p_partkey", name_hash(F.col("p_name")).alias("code"))
+    return table(spark, sf_dir, "part").select("p_partkey", name_hash(F.col("p_name")).alias("code"))
 
 
 @query("WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tmp' WHEN 1 THEN 'tmp_500mb' WHEN 2 THEN 'tmp_' || p_size || 'm' ELSE 'tmp_surface' END AS name FROM part), l AS (SELECT *, CASE WHEN strpos(name, '_') = 0 THEN NULL ELSE substr(name, strpos(name, '_') + 1) END AS level FROM n) SELECT p_partkey, split_part(name, '_', 1) AS param, level, CASE WHEN level IS NULL THEN 0 WHEN regexp_matches(level, '^[0-9]') THEN 1 ELSE 2 END AS rank_, TRY_CAST(regexp_extract(coalesce(level, ''), '^([0-9]+)', 1) AS BIGINT) AS num FROM l")

@@ -39,9 +39,9 @@ def sampled(pts: DataFrame, cells: DataFrame, g: dict) -> DataFrame:
 
 
 def every_block(pts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points by blocks. The blocks are few: (variable, time) pairs, not cells."""
-    blocks = cells.select(*CELL).distinct().agg(F.collect_list(F.struct(*CELL)).alias("b"))
-    return pts.join(blocks, how="inner", on=F.lit(True)).select("point", F.explode("b").alias("b")).select("point", "b.*")
+    """Points by blocks. The blocks are few: (variable, time) pairs, not cells; they go along as one value, so nothing is joined."""
+    blocks = cells.select(*CELL).distinct().agg(F.collect_list(F.struct(*CELL))).scalar()
+    return pts.select("point", F.explode(blocks).alias("b")).select("point", "b.*")
 
 
 _FRAC = "p AS (SELECT point, lat, lon, lon / 0.5::DOUBLE AS fx, (lat - 40) / 0.5::DOUBLE AS fy FROM points), q AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM p WHERE fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19)"
@@ -49,46 +49,45 @@ _CORNER = "k AS (SELECT q.*, i, j, (CASE WHEN i = 1 THEN fx - x0 ELSE 1 - (fx -
 _SAMPLE = f"WITH {GRID_SQL}, {POINTS_SQL}, {_FRAC}, {_CORNER}, s AS (SELECT point, g.variable, g.time_id, CASE WHEN count(g.value) = 4 THEN sum(w * g.value) END AS value FROM k JOIN grid g USING (gx, gy) GROUP BY ALL)"
 
 
-@query(_SAMPLE + " SELECT point, variable, time_id, round(value, 4) AS value FROM s WHERE time_id = 3")
+@query(_SAMPLE + " SELECT point, variable, time_id, round(value, 4) AS value FROM s")
 def sample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of one time at points on the grid; a missing neighbour makes a missing sample."""
-    cells = present_cells(spark, sf_dir).filter("time_id = 3")
+    """Samples at points on the grid; a missing neighbour makes a missing sample."""
+    cells = present_cells(spark, sf_dir)
     pts = points(spark, sf_dir)
     inside = pts.withColumns(dict(zip(("fx", "fy"), grid_position(F.col("lat"), F.col("lon"), GRID)))).filter(on_grid(F.col("fx"), F.col("fy"), GRID)).select("point")
-    frame = inside.join(cells.select("variable", "time_id").distinct(), how="inner", on=F.lit(True))
-    out = frame.join(sampled(pts, cells, GRID), ["point", *CELL], "left")
+    out = every_block(inside, cells).join(sampled(pts, cells, GRID), ["point", *CELL], "left")
     return out.select("point", *CELL, F.round("value", 4).alias("value"))
 
 
-@query(_SAMPLE + " SELECT p.point, b.variable, b.time_id, round(s.value, 4) AS value FROM points p CROSS JOIN (SELECT DISTINCT variable, time_id FROM cells) b LEFT JOIN s ON s.point = p.point AND s.variable = b.variable AND s.time_id = b.time_id WHERE p.point % 5 = 0")
+@query(_SAMPLE + " SELECT p.point, b.variable, b.time_id, round(s.value, 4) AS value FROM points p CROSS JOIN (SELECT DISTINCT variable, time_id FROM cells) b LEFT JOIN s ON s.point = p.point AND s.variable = b.variable AND s.time_id = b.time_id")
 def samples_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many points by all blocks; points off the grid are missing everywhere."""
     cells = present_cells(spark, sf_dir)
-    pts = points(spark, sf_dir).filter("point % 5 = 0")
+    pts = points(spark, sf_dir)
     return every_block(pts, cells).join(sampled(pts, cells, GRID), ["point", *CELL], "left").select("point", *CELL, F.round("value", 4).alias("value"))
 
 
 @query(
     _SAMPLE
-    + ", d AS (SELECT point, variable, time_id, count(g.value)::BIGINT AS neighbours, min(gx)::BIGINT AS x0, max(gx)::BIGINT AS x1, min(gy)::BIGINT AS y0, max(gy)::BIGINT AS y1, count(DISTINCT (gx // 8, gy // 8))::BIGINT AS chunks, arg_max(g.value, (w * 1e6)::BIGINT * 10 + (3 - i - 2 * j)) AS nearest FROM k JOIN grid g USING (gx, gy) WHERE time_id = 3 GROUP BY ALL) SELECT point, variable, neighbours, x0, x1, y0, y1, chunks, CASE WHEN neighbours = 4 THEN round(nearest, 4) END AS nearest FROM d"
+    + ", d AS (SELECT point, variable, time_id, count(g.value)::BIGINT AS neighbours, min(gx)::BIGINT AS x0, max(gx)::BIGINT AS x1, min(gy)::BIGINT AS y0, max(gy)::BIGINT AS y1, count(DISTINCT (gx // 8, gy // 8))::BIGINT AS chunks, arg_max(g.value, (w * 1e6)::BIGINT * 10 + (3 - i - 2 * j)) AS nearest FROM k JOIN grid g USING (gx, gy) GROUP BY ALL) SELECT point, variable, time_id, neighbours, x0, x1, y0, y1, chunks, CASE WHEN neighbours = 4 THEN round(nearest, 4) END AS nearest FROM d"
 )
 def sample_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sample touches: neighbours, chunks of 8 x 8 and the nearest value."""
-    g = grid(spark, sf_dir).filter("time_id = 3")
+    g = grid(spark, sf_dir)
     c = corners(points(spark, sf_dir), GRID)
     w = F.when(F.col("o.i") == 1, F.col("u")).otherwise(1 - F.col("u")) * F.when(F.col("o.j") == 1, F.col("v")).otherwise(1 - F.col("v"))
     rank = F.round(w * 1e6).cast("long") * 10 + (3 - F.col("o.i") - 2 * F.col("o.j"))
-    d = c.select("point", "gx", "gy", rank.alias("rank")).join(g, ["gx", "gy"]).groupBy("point", "variable")
+    d = c.select("point", "gx", "gy", rank.alias("rank")).join(g, ["gx", "gy"]).groupBy("point", *CELL)
     chunk = F.expr("(gx DIV 8) * 1000 + gy DIV 8")
     d = d.agg(F.count("value").alias("neighbours"), F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"), F.count_distinct(chunk).alias("chunks"), F.max_by("value", "rank").alias("nearest"))
-    return d.select("point", "variable", "neighbours", "x0", "x1", "y0", "y1", "chunks", F.when(F.col("neighbours") == 4, F.round("nearest", 4)).alias("nearest"))
+    return d.select("point", *CELL, "neighbours", "x0", "x1", "y0", "y1", "chunks", F.when(F.col("neighbours") == 4, F.round("nearest", 4)).alias("nearest"))
 
 
-_SERIES = f"WITH {OBS_SQL}, h AS (SELECT variable, ts, round(avg(value), 6) AS value FROM obs WHERE user_id % 7 = 3 GROUP BY ALL), times AS (SELECT DISTINCT ts FROM obs WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-07 00:00:00'), vars AS (SELECT DISTINCT variable FROM obs)"
+_SERIES = f"WITH {OBS_SQL}, h AS (SELECT variable, ts, round(avg(value), 6) AS value FROM obs GROUP BY ALL), times AS (SELECT DISTINCT ts FROM obs WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-07 00:00:00'), vars AS (SELECT DISTINCT variable FROM obs)"
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs(spark, sf_dir).filter("user_id % 7 = 3").groupBy("variable", "ts").agg(F.round(F.avg("value"), 6).alias("value"))
+    return obs(spark, sf_dir).groupBy("variable", "ts").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
 @query(_SERIES + " SELECT v.variable, t.ts, h.value FROM vars v CROSS JOIN times t LEFT JOIN h ON h.variable = v.variable AND h.ts = t.ts")
@@ -97,8 +96,8 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     within = F.col("ts").between(F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-07 00:00:00'"))
     times = o.select("ts").filter(within).distinct()
-    names = o.select("variable").distinct().agg(F.collect_set("variable").alias("v"))
-    axis = times.join(names, how="inner", on=F.lit(True)).select(F.explode("v").alias("variable"), "ts")
+    names = o.agg(F.collect_set("variable")).scalar()
+    axis = times.select(F.explode(names).alias("variable"), "ts")
     return axis.join(hourly(spark, sf_dir).filter(within), ["variable", "ts"], "left")
 
 
@@ -110,8 +109,8 @@ def value_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {OBS_SQL}, axis AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS time_id FROM (SELECT DISTINCT ts FROM obs)), m AS (SELECT count(*) - 1 AS last FROM axis), v AS (SELECT a.time_id, avg(o.value) AS value FROM obs o JOIN axis a USING (ts) WHERE o.variable = 'click' GROUP BY a.time_id), q AS (SELECT k, k * 0.37::DOUBLE AS t FROM (SELECT unnest(range(1000)) AS k)) "
-    "SELECT k, floor(t)::BIGINT AS lower, least(floor(t) + 1, last)::BIGINT AS upper, round(a.value + (b.value - a.value) * (t - floor(t)), 6) AS value FROM q CROSS JOIN m LEFT JOIN v a ON a.time_id = floor(t) LEFT JOIN v b ON b.time_id = least(floor(t) + 1, last) WHERE floor(t) <= last"
+    f"WITH {OBS_SQL}, axis AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS time_id FROM (SELECT DISTINCT ts FROM obs)), m AS (SELECT count(*) - 1 AS last FROM axis), v AS (SELECT o.variable, a.time_id, avg(o.value) AS value FROM obs o JOIN axis a USING (ts) GROUP BY ALL), n AS (SELECT DISTINCT variable FROM obs), q AS (SELECT k, k * 0.37::DOUBLE AS t FROM (SELECT unnest(range(1000)) AS k)) "
+    "SELECT n.variable, k, floor(t)::BIGINT AS lower, least(floor(t) + 1, last)::BIGINT AS upper, round(a.value + (b.value - a.value) * (t - floor(t)), 6) AS value FROM q CROSS JOIN m CROSS JOIN n LEFT JOIN v a ON a.variable = n.variable AND a.time_id = floor(t) LEFT JOIN v b ON b.variable = n.variable AND b.time_id = least(floor(t) + 1, last) WHERE floor(t) <= last"
 )
 def time_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values between two steps; a missing side makes a missing value. Two equi-joins on the step."""
@@ -119,11 +118,11 @@ def time_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = obs(spark, sf_dir)
     axis = axis_of(o.select("ts"))
-    v = o.filter("variable = 'click'").join(axis, "ts").groupBy("time_id").agg(F.avg("value").alias("value"))
-    last = axis.agg(F.max("time_id").alias("last"))
-    q = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 0.37).alias("t")).join(last, how="inner", on=F.lit(True)).withColumn("lower", F.floor("t")).filter("lower <= last").withColumn("upper", F.least(F.col("lower") + 1, F.col("last")))
-    q = q.join(v.select(F.col("time_id").alias("lower"), F.col("value").alias("a")), "lower", "left").join(v.select(F.col("time_id").alias("upper"), F.col("value").alias("b")), "upper", "left")
-    return q.select("k", "lower", "upper", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("t") - F.col("lower")), 6).alias("value"))
+    v = o.join(axis, "ts").groupBy(*CELL).agg(F.avg("value").alias("value"))
+    last, names = axis.agg(F.max("time_id")).scalar(), o.agg(F.collect_set("variable")).scalar()
+    q = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 0.37).alias("t"), F.explode(names).alias("variable")).withColumn("last", last).withColumn("lower", F.floor("t")).filter("lower <= last").withColumn("upper", F.least(F.col("lower") + 1, F.col("last")))
+    q = q.join(v.select("variable", F.col("time_id").alias("lower"), F.col("value").alias("a")), ["variable", "lower"], "left").join(v.select("variable", F.col("time_id").alias("upper"), F.col("value").alias("b")), ["variable", "upper"], "left")
+    return q.select("variable", "k", "lower", "upper", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("t") - F.col("lower")), 6).alias("value"))
 
 
 def _weights(t: Column, i: Column) -> Column:
@@ -136,7 +135,7 @@ _CR = lambda t, i: f"CASE {i} WHEN 0 THEN -0.5::DOUBLE*{t}*{t}*{t} + {t}*{t} - 0
 
 
 @query(
-    f"WITH {GRID_SQL}, {POINTS_SQL}, {_FRAC}, b AS (SELECT * FROM q WHERE x0 BETWEEN 1 AND 17 AND y0 BETWEEN 1 AND 17), k AS (SELECT point, (x0 + i - 1)::BIGINT AS gx, (y0 + j - 1)::BIGINT AS gy, ({_CR('(fx - x0)', 'i')}) * ({_CR('(fy - y0)', 'j')}) AS w FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)) SELECT point, variable, CASE WHEN count(value) = 16 THEN round(sum(w * value), 3) END AS value FROM k JOIN grid USING (gx, gy) WHERE time_id = 3 GROUP BY point, variable"
+    f"WITH {GRID_SQL}, {POINTS_SQL}, {_FRAC}, b AS (SELECT * FROM q WHERE x0 BETWEEN 1 AND 17 AND y0 BETWEEN 1 AND 17), k AS (SELECT point, (x0 + i - 1)::BIGINT AS gx, (y0 + j - 1)::BIGINT AS gy, ({_CR('(fx - x0)', 'i')}) * ({_CR('(fy - y0)', 'j')}) AS w FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)) SELECT point, variable, time_id, CASE WHEN count(value) = 16 THEN round(sum(w * value), 3) END AS value FROM k JOIN grid USING (gx, gy) GROUP BY ALL"
 )
 def bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catmull-Rom samples from 16 neighbours, a margin of one cell kept; one missing makes it missing."""
@@ -145,8 +144,7 @@ def bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(4) for i in range(4)))))
     w = _weights(F.col("fx") - F.col("x0"), F.col("o.i")) * _weights(F.col("fy") - F.col("y0"), F.col("o.j"))
     p = p.select("point", (F.col("x0") + F.col("o.i") - 1).alias("gx"), (F.col("y0") + F.col("o.j") - 1).alias("gy"), w.alias("w"))
-    g = grid(spark, sf_dir).filter("time_id = 3")
-    return p.join(g, ["gx", "gy"]).groupBy("point", "variable").agg(F.when(F.count("value") == 16, F.round(F.sum(F.col("w") * F.col("value")), 3)).alias("value"))
+    return p.join(grid(spark, sf_dir), ["gx", "gy"]).groupBy("point", *CELL).agg(F.when(F.count("value") == 16, F.round(F.sum(F.col("w") * F.col("value")), 3)).alias("value"))
 
 
 @query(f"WITH {GRID_SQL} SELECT variable, time_id, gx // 8 AS cx, gy // 8 AS cy, count(*)::BIGINT AS cells, count(value)::BIGINT AS present, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM grid GROUP BY ALL")
@@ -160,7 +158,7 @@ _PIX = "px AS (SELECT x, y, i AS pc, j AS pr, (x + (i + 0.5::DOUBLE) / 8) / 64 *
 
 
 @query(
-    f"WITH {GRID_SQL}, {_PIX}, p AS (SELECT *, lon / 0.5::DOUBLE AS fx, (degrees(atan((exp(m) - exp(-m)) / 2)) - 40) / 0.5::DOUBLE AS fy FROM px), q AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM p WHERE fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19), {_CORNER} SELECT k.x, k.y, pr, pc, variable, CASE WHEN count(value) = 4 THEN round(sum(w * value), 3) END AS value FROM k JOIN grid USING (gx, gy) WHERE time_id = 3 GROUP BY ALL"
+    f"WITH {GRID_SQL}, {_PIX}, p AS (SELECT *, lon / 0.5::DOUBLE AS fx, (degrees(atan((exp(m) - exp(-m)) / 2)) - 40) / 0.5::DOUBLE AS fy FROM px), q AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM p WHERE fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 19), {_CORNER} SELECT k.x, k.y, pr, pc, variable, time_id, CASE WHEN count(value) = 4 THEN round(sum(w * value), 3) END AS value FROM k JOIN grid USING (gx, gy) GROUP BY ALL"
 )
 def grid_to_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid resampled to Web Mercator pixels: pixel centres are points, their neighbours joined by equality."""
@@ -172,16 +170,15 @@ def grid_to_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = px.withColumns({"lon": A.pixel_lon(z, F.col("x"), F.col("pc"), 8), "lat": A.pixel_lat(z, F.col("y"), F.col("pr"), 8)})
     c = corners(px, GRID)
     w = F.when(F.col("o.i") == 1, F.col("u")).otherwise(1 - F.col("u")) * F.when(F.col("o.j") == 1, F.col("v")).otherwise(1 - F.col("v"))
-    g = grid(spark, sf_dir).filter("time_id = 3")
-    hit = c.select("x", "y", "pr", "pc", "gx", "gy", w.alias("w")).join(g, ["gx", "gy"])
-    return hit.groupBy("x", "y", "pr", "pc", "variable").agg(F.when(F.count("value") == 4, F.round(F.sum(F.col("w") * F.col("value")), 3)).alias("value"))
+    hit = c.select("x", "y", "pr", "pc", "gx", "gy", w.alias("w")).join(grid(spark, sf_dir), ["gx", "gy"])
+    return hit.groupBy("x", "y", "pr", "pc", *CELL).agg(F.when(F.count("value") == 4, F.round(F.sum(F.col("w") * F.col("value")), 3)).alias("value"))
 
 
-@query(f"WITH {CELLS_SQL}, s AS (SELECT c_custkey, (40 + (c_custkey * 7 % 100) / 10.0::DOUBLE) AS lat, ((c_custkey * 13 % 100) / 10.0::DOUBLE) AS lon FROM customer) SELECT c_custkey, round(lon / 0.5::DOUBLE)::BIGINT AS gx, round((lat - 40) / 0.5::DOUBLE)::BIGINT AS gy, c.value FROM s LEFT JOIN cells c ON c.gx = round(lon / 0.5::DOUBLE)::BIGINT AND c.gy = round((lat - 40) / 0.5::DOUBLE)::BIGINT AND c.variable = 'R' AND c.time_id = 3")
+@query(f"WITH {CELLS_SQL}, s AS (SELECT c_custkey, (40 + (c_custkey * 7 % 100) / 10.0::DOUBLE) AS lat, ((c_custkey * 13 % 100) / 10.0::DOUBLE) AS lon FROM customer) SELECT c_custkey, round(lon / 0.5::DOUBLE)::BIGINT AS gx, round((lat - 40) / 0.5::DOUBLE)::BIGINT AS gy, c.variable, c.time_id, c.value FROM s LEFT JOIN cells c ON c.gx = round(lon / 0.5::DOUBLE)::BIGINT AND c.gy = round((lat - 40) / 0.5::DOUBLE)::BIGINT")
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value of the nearest cell."""
+    """The value of the nearest cell in each block; null off the grid."""
     p = points(spark, sf_dir)
     x, y = grid_position(F.col("lat"), F.col("lon"), GRID)
     p = p.select(F.col("point").alias("c_custkey"), F.round(x).cast("long").alias("gx"), F.round(y).cast("long").alias("gy"))
-    c = present_cells(spark, sf_dir).filter("variable = 'R' AND time_id = 3").select("gx", "gy", "value")
-    return p.join(c, ["gx", "gy"], "left").select("c_custkey", "gx", "gy", "value")
+    c = present_cells(spark, sf_dir)
+    return p.join(c, ["gx", "gy"], "left").select("c_custkey", "gx", "gy", *CELL, "value")

@@ -128,13 +128,13 @@ def tiles_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord", "z", "x", "y", ((F.col("x") < 64) & (F.col("y") < 64)).alias("valid"), "variable", F.coalesce("n", F.lit(0)).alias("n"), F.round("total", 5).alias("total"))
 
 
-_ROUNDED = "WITH " + TILES_SQL + ", content AS (SELECT variable, time_id, x, y, string_agg(floor(value::DOUBLE * 2 + 0.5)::INT::VARCHAR, ',' ORDER BY py, px) AS blob FROM tiles WHERE py < 1 AND px < 3 GROUP BY variable, time_id, x, y)"
+_ROUNDED = "WITH " + TILES_SQL + ", content AS (SELECT variable, time_id, x, y, string_agg(floor(value::DOUBLE * 1.25 + 0.5)::INT::VARCHAR, ',' ORDER BY py, px) AS blob FROM tiles GROUP BY variable, time_id, x, y)"
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles with a coarse content: codes of their first three pixels, so that equal ones occur."""
+    """Tiles with their content: coarse codes of all pixels, so that equal ones occur."""
     t = tile_arrays(spark, sf_dir)
-    return t.select(*BLOCK, "z", "x", "y", F.array_join(F.transform(F.slice("pixels", 1, 3), lambda v: F.floor(v.cast("double") * 2 + 0.5).cast("int").cast("string")), ",").alias("blob"))
+    return t.select(*BLOCK, "z", "x", "y", F.array_join(F.transform("pixels", lambda v: F.floor(v.cast("double") * 1.25 + 0.5).cast("int").cast("string")), ",").alias("blob"))
 
 
 @query(_ROUNDED + " SELECT variable, time_id, count(*)::BIGINT AS addressed, count(DISTINCT blob)::BIGINT AS contents, round(100.0::DOUBLE * count(DISTINCT blob) / count(*), 6) AS percent FROM content GROUP BY variable, time_id")
@@ -153,13 +153,13 @@ def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("blocks"), F.sum("n").alias("addressed"), F.sum("k").alias("contents"), F.sum("bytes").alias("bytes"))
 
 
-_IDS = _ROUNDED + ", ids AS (SELECT variable, time_id, y * 64 + x AS tile, substr(blob, 1, 1) AS blob FROM content)"
+_IDS = _ROUNDED + ", ids AS (SELECT variable, time_id, y * 64 + x AS tile, md5(blob) AS blob FROM content)"
 
 
 @query(_IDS + " SELECT variable, blob, min(tile)::BIGINT AS first_tile, count(*)::BIGINT AS run_length FROM (SELECT *, tile - row_number() OVER (PARTITION BY variable, blob ORDER BY tile) AS island FROM ids) GROUP BY variable, blob, island")
 def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring tiles with the same content fold into runs (gaps and islands)."""
-    ids = contents(spark, sf_dir).select("variable", (F.col("y") * 64 + F.col("x")).alias("tile"), F.substring("blob", 1, 1).alias("blob"))
+    ids = contents(spark, sf_dir).select("variable", (F.col("y") * 64 + F.col("x")).alias("tile"), F.md5("blob").alias("blob"))
     w = Window.partitionBy("variable", "blob").orderBy("tile")
     return ids.withColumn("island", F.col("tile") - F.row_number().over(w)).groupBy("variable", "blob", "island").agg(F.min("tile").alias("first_tile"), F.count("*").alias("run_length")).drop("island")
 
@@ -196,7 +196,7 @@ def constant_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*BLOCK, "x", "y", F.round(F.array_min("pixels").cast("double"), 6).alias("lo"), F.round(F.array_max("pixels").cast("double"), 6).alias("hi"), (F.array_min(floors) == F.array_max(floors)).alias("constant"))
 
 
-@query("WITH " + TILES_SQL + " SELECT variable, time_id, z, x // 2 AS x, y, py, px // 2 AS px, round(avg(value::DOUBLE), 6) AS value FROM tiles WHERE y < 4 GROUP BY ALL".replace("x // 2 AS x, y, py, px // 2", "x, y, py // 2 AS py, px // 2"))
+@query("WITH " + TILES_SQL + " SELECT variable, time_id, z, x // 2 AS x, y, py, px // 2 AS px, round(avg(value::DOUBLE), 6) AS value FROM tiles GROUP BY ALL".replace("x // 2 AS x, y, py, px // 2", "x, y, py // 2 AS py, px // 2"))
 def downsample_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of 2 x 2 pixels over those present; within each tile's row."""
     at = lambda i, j: F.get("pixels", i * 8 + j).cast("double")
@@ -207,15 +207,15 @@ def downsample_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
         four = F.filter(F.array(at(r, c), at(r, c + 1), at(r + 1, c), at(r + 1, c + 1)), lambda v: v.isNotNull())
         return F.aggregate(four, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(four), F.lit(0))
 
-    t = tile_arrays(spark, sf_dir).filter("y < 4").select(*BLOCK, "z", "x", "y", F.posexplode(F.transform(half, mean)).alias("k", "value"))
+    t = tile_arrays(spark, sf_dir).select(*BLOCK, "z", "x", "y", F.posexplode(F.transform(half, mean)).alias("k", "value"))
     return t.select(*BLOCK, "z", "x", "y", F.expr("k DIV 4").alias("py"), (F.col("k") % 4).alias("px"), F.round("value", 6).alias("value"))
 
 
-@query("WITH " + TILES_SQL + ", q AS (SELECT *, floor(value::DOUBLE * 100 + 0.5)::INT + 128 AS q FROM tiles WHERE time_id < 4) SELECT variable, time_id, x, y, py, px, ((q - coalesce(lag(q) OVER (PARTITION BY variable, time_id, x, y, px ORDER BY py), 0)) % 256 + 256) % 256 AS residual FROM q")
+@query("WITH " + TILES_SQL + ", q AS (SELECT *, floor(value::DOUBLE * 100 + 0.5)::INT + 128 AS q FROM tiles) SELECT variable, time_id, x, y, py, px, ((q - coalesce(lag(q) OVER (PARTITION BY variable, time_id, x, y, px ORDER BY py), 0)) % 256 + 256) % 256 AS residual FROM q")
 def delta_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each code less the one above, modulo the code's width; within each tile's row."""
     q = F.transform("pixels", lambda v: F.floor(v.cast("double") * 100 + 0.5).cast("int") + 128)
-    t = tile_arrays(spark, sf_dir).filter("time_id < 4").select(*BLOCK, "x", "y", q.alias("q"))
+    t = tile_arrays(spark, sf_dir).select(*BLOCK, "x", "y", q.alias("q"))
     res = F.transform("q", lambda v, i: F.pmod(v - F.coalesce(F.get("q", i - 8), F.lit(0)), F.lit(256)))
     t = t.select(*BLOCK, "x", "y", F.posexplode(res).alias("k", "residual"))
     return t.select(*BLOCK, "x", "y", F.expr("k DIV 8").alias("py"), (F.col("k") % 8).alias("px"), "residual")
@@ -224,14 +224,14 @@ def delta_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + TILES_SQL
-    + """, q AS (SELECT *, floor(value::DOUBLE * 100 + 0.5)::INT + 128 AS q FROM tiles WHERE time_id < 4),
+    + """, q AS (SELECT *, floor(value::DOUBLE * 100 + 0.5)::INT + 128 AS q FROM tiles),
 l AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY variable, time_id, x, y, py ORDER BY px), 0) AS west, coalesce(lag(q) OVER (PARTITION BY variable, time_id, x, y, px ORDER BY py), 0) AS north FROM q)
 SELECT variable, time_id, x, y, py, px, ((q - west - north + coalesce(lag(west) OVER (PARTITION BY variable, time_id, x, y, px ORDER BY py), 0)) % 256 + 256) % 256 AS residual FROM l"""
 )
 def lorenzo_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each code less what its west, north and north-west neighbours predict; within each tile's row, where windows would sort."""
     q = F.transform("pixels", lambda v: F.floor(v.cast("double") * 100 + 0.5).cast("int") + 128)
-    t = tile_arrays(spark, sf_dir).filter("time_id < 4").select(*BLOCK, "x", "y", q.alias("q"))
+    t = tile_arrays(spark, sf_dir).select(*BLOCK, "x", "y", q.alias("q"))
     at = lambda i, ok: F.coalesce(F.when(ok, F.get("q", i)), F.lit(0))
     res = F.transform("q", lambda v, i: F.pmod(v - at(i - 1, i % 8 > 0) - at(i - 8, i >= 8) + at(i - 9, (i % 8 > 0) & (i >= 8)), F.lit(256)))
     t = t.select(*BLOCK, "x", "y", F.posexplode(res).alias("k", "residual"))
@@ -273,15 +273,16 @@ def ancestor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile_arrays(spark, sf_dir).groupBy("variable", F.shiftright("x", 2).alias("px4"), F.shiftright("y", 2).alias("py4")).agg(F.count("*").alias("children"))
 
 
-@query("WITH " + TILES_SQL + ", t AS (SELECT DISTINCT variable, x, y FROM tiles WHERE variable < 3), have AS (SELECT variable, z, x >> (6 - z) AS x, y >> (6 - z) AS y FROM t, (SELECT unnest([6, 4, 2]) AS z) WHERE (variable + x) % z <> 1 GROUP BY ALL), w AS (SELECT vec_id, vec_id % 64 AS x, vec_id // 64 AS y FROM embeddings) SELECT vec_id, v.variable, max(h.z) AS found_z FROM w CROSS JOIN (SELECT unnest(range(3)) AS variable) v LEFT JOIN have h ON h.variable = v.variable AND h.x = w.x >> (6 - h.z) AND h.y = w.y >> (6 - h.z) GROUP BY vec_id, v.variable")
+@query("WITH " + TILES_SQL + ", t AS (SELECT DISTINCT variable, x, y FROM tiles), have AS (SELECT variable, z, x >> (6 - z) AS x, y >> (6 - z) AS y FROM t, (SELECT unnest([6, 4, 2]) AS z) WHERE (variable + x) % z <> 1 GROUP BY ALL), w AS (SELECT vec_id, vec_id % 64 AS x, vec_id // 64 AS y FROM embeddings) SELECT vec_id, v.variable, max(h.z) AS found_z FROM w CROSS JOIN (SELECT DISTINCT variable FROM t) v LEFT JOIN have h ON h.variable = v.variable AND h.x = w.x >> (6 - h.z) AND h.y = w.y >> (6 - h.z) GROUP BY vec_id, v.variable")
 def parent_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest stored ancestor of each wanted tile: ancestors are unfolded (three a tile) and joined by equality."""
     zs = F.array(F.lit(6), F.lit(4), F.lit(2))
     up = lambda c: F.call_function("shiftright", F.col(c), 6 - F.col("z"))
-    have = tile_arrays(spark, sf_dir).filter("variable < 3").select("variable", "x", "y").distinct().withColumn("z", F.explode(zs)).filter((F.col("variable") + F.col("x")) % F.col("z") != 1)
+    have = tile_arrays(spark, sf_dir).select("variable", "x", "y").distinct().withColumn("z", F.explode(zs)).filter((F.col("variable") + F.col("x")) % F.col("z") != 1)
     have = have.select("variable", "z", up("x").alias("ax"), up("y").alias("ay")).distinct()
     want = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", (F.col("vec_id") % 64).alias("x"), F.expr("vec_id DIV 64").alias("y"))
-    want = want.withColumn("variable", F.explode(F.array(*(F.lit(v) for v in range(3))))).withColumn("z", F.explode(zs)).select("vec_id", "variable", "z", up("x").alias("ax"), up("y").alias("ay"))
+    names = tile_arrays(spark, sf_dir).agg(F.collect_set("variable")).scalar()  # a dimension: one row
+    want = want.withColumn("variable", F.explode(names)).withColumn("z", F.explode(zs)).select("vec_id", "variable", "z", up("x").alias("ax"), up("y").alias("ay"))
     got = want.join(have.withColumn("hit", F.col("z")), ["variable", "z", "ax", "ay"], "left")
     return got.groupBy("vec_id", "variable").agg(F.max("hit").alias("found_z"))
 
