@@ -164,7 +164,7 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     if not len(start):
         return np.zeros(0, U64)
     n = end - start
-    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    eight = np.ndarray(len(buf) + 1, "<u8", padded(buf), strides=(1,))
     out = mix(n.astype(U64) + U64(_BASE))
     which, at = np.arange(len(n)), 0
     while len(which) and at < 256:
@@ -177,6 +177,22 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def padded(buf: np.ndarray) -> np.ndarray:
+    return np.concatenate([buf, np.zeros(8, np.uint8)])
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of x from a are those of y from b, 8 at a time for all pairs that still agree. x, y: `padded`."""
+    x, y = (np.ndarray(len(z) - 7, "<u8", z, strides=(1,)) for z in (x, y))
+    same, which, at = np.ones(len(a), bool), np.flatnonzero(n > 0), 0
+    while len(which):
+        agree = (x[a[which] + at] ^ y[b[which] + at]) & _MASKS[np.minimum(n[which] - at, 8)] == 0
+        same[which[~agree]] = False
+        at += 8
+        which = which[agree & (n[which] > at)]
+    return same
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Of each n consecutive hashes; those that cross documents are for the caller to leave out."""
     if len(h) < n:

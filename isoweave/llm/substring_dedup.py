@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Scratch, gram_hashes, mix, table, text_blocks, word_hashes, words
+from .common import SPACED, Scratch, equal_spans, gram_hashes, mix, padded, table, text_blocks, word_hashes, words
 from .suffix_dedup import removed
 from .windows import BATCH_WINDOWS, Kind, with_ranges
 
@@ -53,24 +53,11 @@ def window_words(n: np.ndarray, first: np.ndarray) -> np.ndarray:
     return first[:-1][string] + np.arange(len(string)) - (np.cumsum(n) - n)[string]
 
 
-def equal_spans(flat: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether the n bytes from a are those from b, 8 at a time for all pairs that still agree."""
-    eight = np.ndarray(len(flat) + 1, "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
-    same, which, at = np.ones(len(a), bool), np.flatnonzero(n > 0), 0
-    while len(which):
-        short = np.minimum(n[which] - at, 8)
-        differ = (eight[a[which] + at] ^ eight[b[which] + at]) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - short).astype(np.uint64)))
-        same[which[differ != 0]] = False
-        at += 8
-        which = which[(differ == 0) & (n[which] > at)]
-    return same
-
-
 def marked_words(strings: list[bytes], n: np.ndarray, group: np.ndarray, only: np.ndarray | None = None, width: int = WIDTH) -> np.ndarray:
     """Flags of the windows (those of `only` alone, if given) that occur again in a string of the same group, or again in their own."""
     flat, start, end, h, first = bounds(strings)
     at, group = window_words(n, first), np.repeat(group, n)
-    flags = np.zeros(len(at), bool)
+    buf, flags = padded(np.frombuffer(flat, np.uint8)), np.zeros(len(at), bool)
     if only is not None:
         at, group = at[only], group[only]
     key = gram_hashes(h, width)[at] ^ mix(group.astype(np.uint64))
@@ -82,7 +69,7 @@ def marked_words(strings: list[bytes], n: np.ndarray, group: np.ndarray, only: n
         p = p[group[order[p]] == group[order[p + 1]]]
         x, y = at[order[p]], at[order[p + 1]]
         n_x, n_y = end[x + width - 1] - start[x], end[y + width - 1] - start[y]
-        p = p[(n_x == n_y) & equal_spans(np.frombuffer(flat, np.uint8), start[x], start[y], np.minimum(n_x, n_y))]
+        p = p[(n_x == n_y) & equal_spans(buf, start[x], buf, start[y], np.minimum(n_x, n_y))]
         got[order[p]] = got[order[p + 1]] = True
     if only is None:
         return got

@@ -1,23 +1,28 @@
 """Token ids in a content-addressed store.
 
 Layout, below a folder of its own (Parquet; ids are little-endian, 16 bits where the vocabulary allows, else 32):
-  chunks    digest, data, n_refs, doc_id, idx   each distinct run of ids once, with the first place that has it
-  recipes   doc_id, start, n_tokens, digests, root   in ascending doc_id; digests are those of the document's chunks
+  chunks    digest, data, n_refs, row, idx   each distinct run of ids once, with the first place that has it
+  recipes   row, doc_id, at, n_tokens, digests, root   in ascending doc_id; digests are those of the document's chunks
   manifest  part, docs, tokens, root   a Merkle root over the roots of a part's recipes; part -1 holds the whole
+A document's row is its number as it was read; it names places, so that repeated rows are documents of their own.
 
 A rolling hash over the last `WINDOW` ids ends a chunk where it is 0 modulo `MEAN`, so equal passages give equal
 chunks wherever they stand. Reading joins documents with their chunks again, and every digest, document root and
 manifest root is computed anew and compared; a mismatch raises.
 
-Distinct words are encoded once a worker, in a bounded table; a text with a special token's string is encoded whole.
+Distinct words are encoded once a worker, in a bounded table, found by hash and compared as bytes; a text with a
+special token's string, or with a word that only the hash takes for another, is encoded whole. With a tokenizer whose
+normaliser or splitting rule is another than that which the table is made for, all texts are encoded whole.
 
-Defined cases: null and empty texts have the end id only. doc_id is a key; repeated rows raise on reading back.
-Extra columns are ignored. An empty table gives empty tables.
+Defined cases: null and empty texts have the end id only. Texts of any length are taken whole. Repeated rows are each
+encoded, stored and returned, one after the other; so are rows of one doc_id with different texts, in no set order. A
+null doc_id comes first. Extra columns are ignored. An empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
 import zlib
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, gram_hashes, mix, prefix_hash, separators, span_hash, table, text_blocks, words
+from .common import LOWER, Scratch, equal_spans, gram_hashes, hot_join, mix, padded, separators, table, text_blocks, word_hashes, words
 
 WINDOW, MEAN, END = 8, 512, 1
 #: Distinct pieces that a worker keeps encoded; beyond, it starts over.
@@ -38,6 +43,10 @@ CACHE_WORDS = 1_500_000
 MARKED = np.zeros(256, bool)
 MARKED[list(b".,;:!?%*#$&|")] = True
 PARTED = separators(0x20, 0x0A)
+# The rules of a tokenizer file whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -50,6 +59,27 @@ def all_letters(s: str) -> bool:
     return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
 
 
+class Merkle:
+    """The root that `merkle` gives, of leaves that come one by one; holds a node a level."""
+
+    def __init__(self) -> None:
+        self.levels: list[bytes | None] = []
+
+    def add(self, node: bytes) -> None:
+        for i, left in enumerate(self.levels):
+            if left is None:
+                self.levels[i] = node
+                return
+            node, self.levels[i] = digest(left + node), None
+        self.levels.append(node)
+
+    def root(self) -> bytes:
+        out: bytes | None = None
+        for left in self.levels:
+            out = out if left is None else left if out is None else digest(left + out)
+        return digest(b"") if out is None else out
+
+
 class HashTable:
     """int32 values by 64-bit hashes: open addressing, looked up and filled by whole arrays."""
 
@@ -82,8 +112,8 @@ class WordEncoder:
     """encode(texts): ids of all texts and where each text's begin.
 
     White space parts words, and a run of letters and the marks after it are pre-tokens of their own; so each distinct
-    one is encoded once and found again by the 64-bit hash of its bytes, with ASCII letters in lower case. A word of
-    another build is encoded as a whole.
+    one is encoded once and found again by the 64-bit hash of its bytes, with ASCII letters in lower case, and these
+    bytes. A word of another build is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -92,18 +122,33 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        rules = json.loads(self.whole.to_str())
+        self.by_words = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
         self.type = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
         self.table, self.count = HashTable(), 1  # piece 0 has no ids
-        self.at, self.n, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type), 0
+        self.at, self.n, self.ids, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.type), 0
+        # the bytes of each piece, and 8 more
+        self.begin, self.size, self.raw, self.full = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint8), 0
 
     def pieces(self, low: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, letters: bool) -> np.ndarray:
-        """The number of each piece start:end; new ones are encoded. With `letters`, -2 for those that aren't runs of letters."""
+        """The number of each piece start:end; new ones are encoded. -3 for those whose bytes are others than those of
+        their hash; with `letters`, -2 for those that aren't runs of letters."""
         out = self.table.get(h)
-        if not len(missing := np.flatnonzero(out == -1)):
-            return out
+        if len(missing := np.flatnonzero(out == -1)):
+            out[missing] = self.added(low, h[missing], start[missing], end[missing], letters)
+        some = np.flatnonzero(out > 0)
+        k, n = out[some], (end - start)[some]
+        same = self.size[k] == n
+        same[same] = equal_spans(padded(low), start[some[same]], self.raw, self.begin[k[same]], n[same])
+        out[some[~same]] = -3
+        return out
+
+    def added(self, low: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, letters: bool) -> np.ndarray:
+        """The numbers of pieces that aren't in the table yet, after putting them there."""
+        missing = np.arange(len(h))
         fresh, first = np.unique(h[missing], return_index=True)
         first, flat = missing[first], low.tobytes()
         texts = [flat[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
@@ -122,21 +167,29 @@ class WordEncoder:
             self.at[k : k + len(some)] = self.used + np.cumsum(n) - n
             self.n[k : k + len(some)] = n
             value[which] = np.arange(k, k + len(some))
+            raw = np.frombuffer("".join(some).encode(), np.uint8)
+            sizes = (end - start)[first[which]]
+            self.begin, self.size, self.raw = grown(self.begin, k + len(some)), grown(self.size, k + len(some)), grown(self.raw, self.full + len(raw) + 8)
+            self.begin[k : k + len(some)] = self.full + np.cumsum(sizes) - sizes
+            self.size[k : k + len(some)] = sizes
+            self.raw[self.full : self.full + len(raw)] = raw
+            self.full += len(raw)
             self.used, self.count = self.used + len(word), k + len(some)
         self.table.put(fresh, value)
-        out[missing] = self.table.get(h[missing])
-        return out
+        return self.table.get(h)
 
     def encode_block(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_words:
+            got = self.whole.encode_batch([buf[a:b].tobytes().decode() for a, b in zip(offs, offs[1:])], add_special_tokens=False)
+            return np.array([i for g in got for i in g.ids], self.type), np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int64)
         if self.count > CACHE_WORDS:
             self.clear()
-        low = LOWER[buf]
+        low, odd = LOWER[buf], np.zeros(0, np.int64)
         start, end, first = words(low, offs, PARTED)
         if len(start):
             last = np.maximum.accumulate(np.where(MARKED[low], 0, np.arange(1, len(low) + 1)))
             tail = np.maximum(last[end - 1], start)
-            c = prefix_hash(low)
-            hashed = lambda a, b: np.maximum(mix(span_hash(c, a, b) + (b - a).astype(np.uint64)), np.uint64(1))
+            hashed = lambda a, b: np.maximum(word_hashes(low, a, b), np.uint64(1))
             part = np.zeros((len(start), 2), np.int32)
             some = np.flatnonzero(tail > start)
             part[some, 0] = self.pieces(low, hashed(start[some], tail[some]), start[some], tail[some], True)
@@ -145,7 +198,9 @@ class WordEncoder:
             some = np.flatnonzero(part[:, 0] == -2)
             part[some, 1] = 0
             part[some, 0] = self.pieces(low, np.maximum(mix(hashed(start[some], end[some]) ^ np.uint64(0x5555)), np.uint64(1)), start[some], end[some], False)
-            part = part.reshape(-1)
+            # words that a collision hides: their documents are encoded whole
+            odd = np.searchsorted(first, np.flatnonzero((part == -3).any(1)), "right") - 1
+            part = np.maximum(part, 0).reshape(-1)
         else:
             part = np.zeros(0, np.int32)
         n = self.n[part]
@@ -154,8 +209,8 @@ class WordEncoder:
         upto = np.concatenate(([0], done))[2 * first]
         # texts with a special token's string are encoded as they are
         bar = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C)) if len(buf) > 1 else np.zeros(0, np.int64)
-        texts = {d: buf[offs[d] : offs[d + 1]].tobytes() for d in np.unique(np.searchsorted(offs, bar, "right") - 1).tolist()}
-        texts = {d: t for d, t in texts.items() if any(x in t for x in self.special)}
+        texts = {d: buf[offs[d] : offs[d + 1]].tobytes() for d in np.unique(np.concatenate([odd, np.searchsorted(offs, bar, "right") - 1])).tolist()}
+        texts = {d: t for d, t in texts.items() if d in odd or any(x in t for x in self.special)}
         if not texts:
             return ids, upto
         parts = [np.array(self.whole.encode(texts[d].decode(), add_special_tokens=False).ids, self.type) if d in texts else ids[a:b] for d, (a, b) in enumerate(zip(upto, upto[1:]))]
@@ -189,14 +244,16 @@ def chunk_bounds(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([cut[inside], offs[1:]]))
 
 
-STAGED = "kind int, doc_id long, idx int, n_tokens long, digest binary, data binary, n_refs long"
+STAGED = "kind int, row long, doc_id long, idx int, n_tokens long, digest binary, data binary, n_refs long"
 
 
 def encode_and_cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows of STAGED: a recipe for each document (kind 1), and each distinct chunk of a block of documents (kind 0)."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    encoder = _encoders[path]
+    from pyspark import TaskContext
+
+    encoder, number = _encoders[path], TaskContext.get().partitionId() << 40
     for rows, buf, offs in text_blocks(batches):
         ids, offs = encoder.encode_block(buf, offs)
         n_docs = rows.num_rows
@@ -212,33 +269,34 @@ def encode_and_cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         doc = np.searchsorted(offs, begins, "right") - 1
         first = np.searchsorted(begins, offs[:-1])
         refs: Counter[bytes] = Counter()
-        owner: dict[bytes, tuple[int, int, int, bytes]] = {}
+        owner: dict[bytes, tuple[int, int, int, bytes]] = {}  # the first place in the block, which comes in order
         lists: list[list[bytes]] = [[] for _ in range(n_docs)]
         names = rows.column("doc_id").to_pylist()
         for k, (a, b, d) in enumerate(zip(begins.tolist(), bounds.tolist(), doc.tolist())):
             data = raw[a * width : b * width]
             key = digest(data)
             refs[key] += 1
-            place = (names[d], k - int(first[d]), b - a, data)
-            if key not in owner or place[:2] < owner[key][:2]:
-                owner[key] = place
+            if key not in owner:
+                owner[key] = (number + d, k - int(first[d]), b - a, data)
             lists[d].append(key)
         keys = list(owner)
         cols = [
             [1] * n_docs + [0] * len(keys),
-            names + [owner[k][0] for k in keys],
+            list(range(number, number + n_docs)) + [owner[k][0] for k in keys],
+            names + [None] * len(keys),
             [0] * n_docs + [owner[k][1] for k in keys],
             np.diff(offs).tolist() + [owner[k][2] for k in keys],
             [b"".join(x) for x in lists] + keys,
             [None] * n_docs + [owner[k][3] for k in keys],
             [0] * n_docs + [refs[k] for k in keys],
         ]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "doc_id", "idx", "n_tokens", "digest", "data", "n_refs"])
+        number += n_docs
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in STAGED.split(", ")])
 
 
 def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, doc_id and idx: the first of each digest with the sum of n_refs, batch by batch."""
+    """Of rows sorted by digest, row and idx: the first of each digest with the sum of n_refs, batch by batch."""
     held: pa.RecordBatch | None = None
     held_refs = 0
     for batch in batches:
@@ -263,7 +321,7 @@ def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def with_refs(rows: pa.RecordBatch, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([rows.column("digest"), rows.column("data"), pa.array(n, pa.int64()), rows.column("doc_id"), rows.column("idx")], names=["digest", "data", "n_refs", "doc_id", "idx"])
+    return pa.RecordBatch.from_arrays([rows.column("digest"), rows.column("data"), pa.array(n, pa.int64()), rows.column("row"), rows.column("idx")], names=["digest", "data", "n_refs", "row", "idx"])
 
 
 def local_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,28 +335,28 @@ def local_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total += int(n.sum())
         lists = batch.column("digest").to_pylist()
         roots = [merkle([x[i : i + 20] for i in range(0, len(x), 20)]) for x in lists]
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), batch.column("digest"), pa.array(roots, pa.binary())], names=["part", "doc_id", "at", "n_tokens", "digests", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), batch.column("row"), batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), batch.column("digest"), pa.array(roots, pa.binary())], names=["part", "row", "doc_id", "at", "n_tokens", "digests", "root"])
 
 
 def part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One manifest row for each run of rows of one part; rows are sorted by part and doc_id."""
-    part, docs, tokens, h = None, 0, 0, None
-    row = lambda: pa.RecordBatch.from_pylist([{"part": part, "docs": docs, "tokens": tokens, "root": h.digest()}], pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
+    """One manifest row for each run of rows of one part; rows are sorted by part and place."""
+    part, docs, tokens, tree = None, 0, 0, Merkle()
+    row = lambda: pa.RecordBatch.from_pylist([{"part": part, "docs": docs, "tokens": tokens, "root": tree.root()}], pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
     for batch in batches:
         for p, n, root in zip(batch.column("part").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist()):
             if p != part:
                 if part is not None:
                     yield row()
-                part, docs, tokens, h = p, 0, 0, hashlib.blake2b(digest_size=20)
+                part, docs, tokens, tree = p, 0, 0, Merkle()
             docs, tokens = docs + 1, tokens + n
-            h.update(root)
+            tree.add(root)
     if part is not None:
         yield row()
 
 
 def manifest_of(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
     """Of each part: its number, documents, ids and root, in order; one row a part reaches the driver."""
-    rows = recipes.select("part", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(part_roots, "part int, docs long, tokens long, root binary")
+    rows = recipes.select("part", "at", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "at").mapInArrow(part_roots, "part int, docs long, tokens long, root binary")
     return sorted((r["part"], r["docs"], r["tokens"], bytes(r["root"])) for r in rows.collect())
 
 
@@ -310,10 +368,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     back = spark.read.schema(STAGED).parquet(staged)
-    chunks = back.filter("kind = 0").select("digest", "doc_id", "idx", "data", "n_refs")
-    chunks.repartition(n, "digest").sortWithinPartitions("digest", "doc_id", "idx").mapInArrow(first_of_each, "digest binary, data binary, n_refs long, doc_id long, idx int").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = back.filter("kind = 1").select("doc_id", "n_tokens", "digest")
-    recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(local_starts, "part int, doc_id long, at long, n_tokens long, digests binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    chunks = back.filter("kind = 0").select("digest", "row", "idx", "data", "n_refs")
+    chunks.repartition(n, "digest").sortWithinPartitions("digest", "row", "idx").mapInArrow(first_of_each, "digest binary, data binary, n_refs long, row long, idx int").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    recipes = back.filter("kind = 1").select("row", "doc_id", "n_tokens", "digest")
+    recipes.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(local_starts, "part int, row long, doc_id long, at long, n_tokens long, digests binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
     parts = manifest_of(spark.read.parquet(f"{path}/recipes"))
     top = (-1, sum(p[1] for p in parts), sum(p[2] for p in parts), merkle([p[3] for p in parts]))
     spark.createDataFrame([top, *parts], "part int, docs long, tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
@@ -326,27 +384,27 @@ READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def assemble(batches: Iterator[pa.RecordBatch], width: int, take: object) -> Iterator[pa.RecordBatch]:
-    """Documents from rows sorted by doc_id and idx: the recipe (idx -1), then its chunks; all hashes are verified."""
+    """Documents from rows sorted by row and idx: the recipe (idx -1), then its chunks; all hashes are verified."""
     head, leaves, parts, out = None, [], [], []
 
     def finish() -> None:
         if head is None:
             return
-        doc, start, n, root = head
+        _, doc, start, n, root = head
         data = b"".join(parts)
         if merkle(leaves) != root or len(data) != n * width:
             raise ValueError(f"document {doc}: the chunks don't give its root")
         out.append((doc, start, n, data))
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("doc_id", "idx", "start", "n_tokens", "root", "data")]
-        for doc, idx, start, n, root, data in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("row", "idx", "doc_id", "start", "n_tokens", "root", "data")]
+        for row, idx, doc, start, n, root, data in zip(*cols):
             if idx == -1:
                 finish()
-                head, leaves, parts = (doc, start, n, root), [], []
+                head, leaves, parts = (row, doc, start, n, root), [], []
             else:
-                if head is None or head[0] != doc or idx != len(leaves):
-                    raise ValueError(f"document {doc}: its chunks aren't one of each place")
+                if head is None or head[0] != row or idx != len(leaves):
+                    raise ValueError(f"row {row}: its chunks aren't one of each place")
                 leaves.append(digest(data))
                 parts.append(data)
         if len(out) >= 256:
@@ -370,14 +428,16 @@ def read_store(spark: SparkSession, path: str, width: int, take: object, schema:
         base.append((part, before))
         before += tokens
     starts = F.broadcast(spark.createDataFrame(base, "part int, base long"))  # a row a part
-    heads = recipes.join(starts, "part").select("doc_id", F.lit(-1).alias("idx"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "root", F.lit(None).cast("binary").alias("data"))
-    none = [F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("root")]
-    own = chunks.select("doc_id", "idx", *none, "data")
-    refs = recipes.select("doc_id", F.posexplode_outer(F.transform(F.sequence(F.lit(0), (F.length("digests") / 20).cast("int") - 1), lambda i: F.substring("digests", i * 20 + 1, 20))).alias("idx", "digest"))
-    shared = chunks.filter("n_refs > 1").select("digest", "data", F.col("doc_id").alias("of"), F.col("idx").alias("of_idx"))
-    foreign = refs.join(shared, "digest").filter((F.col("doc_id") != F.col("of")) | (F.col("idx") != F.col("of_idx"))).select("doc_id", "idx", *none, "data")
+    heads = recipes.join(starts, "part").select("row", F.lit(-1).alias("idx"), "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "root", F.lit(None).cast("binary").alias("data"))
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("root")]
+    own = chunks.select("row", "idx", *none, "data")
+    refs = recipes.select("row", F.posexplode_outer(F.transform(F.sequence(F.lit(0), (F.length("digests") / 20).cast("int") - 1), lambda i: F.substring("digests", i * 20 + 1, 20))).alias("idx", "digest"))
+    shared = chunks.filter("n_refs > 1").select("digest", "data", F.col("row").alias("of"), F.col("idx").alias("of_idx"), "n_refs")
+    # hot chunks are few, and together no longer than HOT_KEYS chunks of mean length: what each has times its length is part of the input
+    total = chunks.agg(F.sum("n_refs")).first()[0] or 0
+    foreign = hot_join(refs, shared, ["digest"], "n_refs", total).filter((F.col("row") != F.col("of")) | (F.col("idx") != F.col("of_idx"))).select("row", "idx", *none, "data")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = heads.unionByName(own).unionByName(foreign).repartition(n, "doc_id").sortWithinPartitions("doc_id", "idx")
+    rows = heads.unionByName(own).unionByName(foreign).repartition(n, "row").sortWithinPartitions("row", "idx")
     return rows.mapInArrow(lambda b: assemble(b, width, take), schema)
 
 

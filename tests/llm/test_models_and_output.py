@@ -121,10 +121,11 @@ def test_token_store_finds_damage(spark, docs, scratch):
     T.write_store(docs, path, PATH)
     read = lambda p: T.read_store(spark, p, 2, T.crc_rows(2), "doc_id long, start long, n_tokens long, ids_crc32 long")
     bad = scratch.path()
+    first = bytes(spark.read.parquet(f"{path}/recipes").filter("doc_id = 20").first()["digests"][:20])
     c = spark.read.parquet(f"{path}/chunks")
     from pyspark.sql import functions as F
 
-    c.withColumn("data", F.when((F.col("doc_id") == 20) & (F.col("idx") == 0), F.lit(b"\0\0")).otherwise(F.col("data"))).write.parquet(f"{bad}/chunks")
+    c.withColumn("data", F.when(F.col("digest") == F.lit(first), F.lit(b"\0\0")).otherwise(F.col("data"))).write.parquet(f"{bad}/chunks")
     for t in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{t}").write.parquet(f"{bad}/{t}")
     with pytest.raises(Exception, match="chunks don't give"):
@@ -181,3 +182,128 @@ def test_packing_fills():
     bins, _, sizes = P.pack(lengths)
     assert len(bins) == len(lengths) and sum(lengths) / sum(sizes) > 0.97
     assert P.pack([]) == ([], [], [])
+
+
+def test_token_store_of_repeated_rows(spark, scratch):
+    """Rows that stand twice, ids that are null, and one id with two texts: each row comes back."""
+    rows = [(2, "b c " * 700), (1, "a"), (1, "a"), (2, "b c " * 700), (None, "x y"), (3, None), (4, "p"), (4, "q r")]
+    path = scratch.path()
+    T.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, PATH)
+    tok = tokenizers.Tokenizer.from_file(PATH)
+    want = sorted((str(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [tok.encode(t or "", add_special_tokens=False).ids + [1]])
+    got = T.read_store(spark, path, 2, T.crc_rows(2), "doc_id long, start long, n_tokens long, ids_crc32 long").collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in order] == [0, *np.cumsum([r["n_tokens"] for r in order])[:-1].tolist()]
+    assert [r["doc_id"] or 0 for r in order] == sorted(r["doc_id"] or 0 for r in order)
+
+
+def test_encoder_compares_bytes(monkeypatch):
+    """Words whose hashes collide, by craft or by a poor hash, are encoded as they are."""
+    tok = tokenizers.Tokenizer.from_file(PATH)
+    tm = [bin(k).count("1") % 2 for k in range(1024)]
+    texts = ["".join("ab"[x] for x in tm), "".join("ba"[x] for x in tm), "one two three", "two one. four three", "five <|endoftext|> one"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, at = T.WordEncoder(PATH).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    monkeypatch.setattr(T, "word_hashes", lambda buf, a, b: (b - a).astype(np.uint64))
+    ids, at = T.WordEncoder(PATH).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_other_tokenizers():
+    """A file with other rules is taken at its word."""
+    other = public.path("byte_bpe_50k.json")
+    e, tok = T.WordEncoder(other), tokenizers.Tokenizer.from_file(other)
+    texts = ["One two  THREE", "", "x\n y é", "<|endoftext|>"]
+    ids, at = e.encode(texts)
+    assert not e.by_words and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_merkle_roots():
+    for n in range(20):
+        leaves = [bytes([k]) * 20 for k in range(n)]
+        tree = T.Merkle()
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == T.merkle(leaves)
+
+
+def plain_pack(lengths, sizes):
+    """Best fit, step by step: the fullest open bin that still holds the piece, the newest of equals; else the cheapest new one."""
+    cost = lambda c: c + 0.25 * c * c / max(sizes)
+    price, bins, out = min(cost(c) / c for c in sizes), [], []
+    for k, n in enumerate(lengths):
+        rest = sum(lengths[k + 1 :])
+        fits = [(size - used, -at, b) for b, (size, used, at) in enumerate(bins) if size - used >= n]
+        if fits:
+            b = min(fits)[2]
+        else:
+            options = sorted(c for c in sizes if c >= n)
+            bins.append([min(options, key=lambda c: cost(c) - price * min(c - n, rest)), 0, 0])
+            b = len(bins) - 1
+        out.append((b, bins[b][1]))
+        bins[b][1:] = [bins[b][1] + n, k]  # touched last: the newest of those with equal room
+    return out, [min(c for c in sizes if c >= used) for _, used, _ in bins]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_against_plain_version(seed):
+    r = np.random.default_rng(seed)
+    sizes = [(256, 512, 1024, 2048, 4096), (8, 16), (10,), (4, 6, 9, 30)][seed % 4]
+    lengths = sorted((int(x) for x in r.integers(1, max(sizes) + 1, int(r.integers(1, 200)))), reverse=True)
+    if seed > 3:
+        lengths = sorted((int(x) for x in r.choice([1, 2, max(sizes) // 2, max(sizes)], 120)), reverse=True)
+    bins, places, final = P.pack(lengths, sizes)
+    assert (list(zip(bins, places)), final) == plain_pack(lengths, sizes)
+
+
+def test_packing_of_repeated_rows_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "x"), (2, None), (3, "w " * 9000)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["piece"], r["n_tokens"]) for r in P.pack_documents(rows).collect())
+    assert got == [("1", 0, 4), ("1", 0, 4), ("2", 0, 1), ("3", 0, 4096), ("3", 1, 4096), ("3", 2, 809), ("None", 0, 2)]
+
+
+def test_classifier_fit_reaches_the_optimum():
+    """The dual objective by coordinate descent against the primal one of the weights it gives: a small duality gap."""
+    r = np.random.default_rng(5)
+    docs, labels = [], []
+    for k in range(120):
+        y = k % 2
+        common = r.integers(0, 60, 12)
+        own = r.integers(100 + 100 * y, 160 + 100 * y, 4)
+        docs.append(np.unique(np.concatenate([common, own if k % 7 else common])).astype(np.int32))
+        labels.append(y)
+    labels = np.array(labels)
+    weights, b, _ = M.fit(labels, docs, epochs=400)
+    counts = np.ones((2, M.DIMENSIONS))
+    for y, x in zip(labels, docs):
+        counts[y, x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(weights[1], ratio, atol=1e-5)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(np.abs(weights[1]) > 1e-12, weights[0] / weights[1], 0.0)
+    rows = [ratio[x] / np.sqrt((ratio[x] ** 2).sum() + 1) for x in docs]
+    y = np.where(labels > 0, 1.0, -1.0)
+    most = M.PENALTY * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    primal = lambda w, b: 0.5 * ((w**2).sum() + b * b) + sum(m * max(0.0, 1 - t * (w[x] @ v + b)) for m, t, x, v in zip(most, y, docs, rows))
+    # a plain subgradient descent over the same objective gets no lower
+    u, c, best = np.zeros(M.DIMENSIONS), 0.0, np.inf
+    for step in range(1, 1500):
+        g, gc = u.copy(), c
+        for m, t, x, v in zip(most, y, docs, rows):
+            if t * (u[x] @ v + c) < 1:
+                np.add.at(g, x, -m * t * v)
+                gc -= m * t
+        u, c = u - g / step, c - gc / step
+        best = min(best, primal(u, c)) if step % 50 == 0 else best
+    assert primal(w, b) <= best * 1.001
+
+
+def test_classifier_cells():
+    """Cells of a text are the same alone and in company, each once; those of words and pairs depend on these alone."""
+    texts = [b"One two two 33", b"", b"two two", "caf\u00e9 ## One".encode()]
+    one = lambda t: M.cells(np.frombuffer(t, np.uint8), np.array([0, len(t)], np.int64))[1].tolist()
+    doc, f = M.cells(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64))
+    assert [f[doc == d].tolist() for d in range(4)] == [one(t) for t in texts] and all(len(set(one(t))) == len(one(t)) for t in texts)
+    assert set(one(b"two two")) != set(one(b"two")) and all(0 <= x < M.DIMENSIONS for x in f.tolist())
