@@ -2,14 +2,18 @@
 
 Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A benchmark item gives its
 windows of `n` consecutive words; an item of fewer words, but not none, is one window. A document word inside any
-occurrence of a window is hit; candidates found by hash count only after their words compare equal.
-
-The set is broadcast in blocks of at most `block_bytes` of benchmark text, each scanned over every document, so
-its size is bounded however large the benchmark grows; one block, the usual case, needs no shuffle at all.
-
-Defined cases: null and empty texts have no words, no hits and no items. Null or empty items have no windows.
-Items with equal windows all count. Repeated item_ids count once. Repeated rows are scanned each by itself with
-one block; with several, doc_id must be a key. Extra columns are returned by `remove_contaminated` as they came.
+occurrence of a window is hit; candidates found by hash count only after their words compare equal as bytes.
+
+The set is arrays: the items' text, the places of its words, and by length the sorted hashes of windows with their
+places, some four bytes for each byte of text. It is made once, on the driver, and broadcast in blocks of at most
+`block` bytes of benchmark text, each scanned over every document, so that its size is bounded however large the
+benchmark grows; what is found over all blocks decides, whatever their number. One block, the usual case, needs no
+shuffle at all.
+
+Defined cases: null and empty texts have no words, no hits and no items; texts of any length are taken whole. Null or
+empty items have no windows, and items without an id are left out. Items with equal windows all count. Repeated
+item_ids count once. Repeated rows give a row each, as do rows of one doc_id with different texts; a null doc_id is an
+id like others. Extra columns are returned by `remove_contaminated` as they came.
 """
 
 from __future__ import annotations
@@ -21,98 +25,107 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, gram_hashes, cover, table, text_blocks, word_hashes, words
+from .common import ALNUM, LOWER, cover, equal_spans, gram_hashes, padded, table, text_blocks, word_hashes, words
 
-N, MIN_ITEMS, BLOCK = 8, 2, 64 << 20
+N, MIN_ITEMS, BLOCK = 8, 2, 32 << 20
+#: Pairs of a document's window and an item's that are compared at a time.
+PAIRS = 1 << 18
 
 
 class Windows:
-    """The windows of some items: by length sorted hashes, each with the word sequence and the items that have it."""
+    """The windows of some items: by length their sorted hashes and the items' words that they begin with."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        found: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            w = normal_words((text or "").encode())
-            k = min(n, len(w))
-            for i in range(len(w) - k + 1 if k else 0):
-                found[k][b" ".join(w[i : i + k])].add(item)
+        raw = [(text or "").encode() for _, text in items]
+        buf = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        start, end, first = words(buf, np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), ALNUM)
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.buf, self.start, self.size, self.first = padded(buf), start.astype(np.int32), (end - start).astype(np.int32), first
+        h, per = word_hashes(buf, start, end), np.diff(first)
+        item = np.repeat(np.arange(len(per)), per)
+        left = first[item + 1] - np.arange(len(item)) if len(item) else np.zeros(0, np.int64)
         self.by_length = []
-        for k, windows in sorted(found.items()):
-            flat = b"\n".join(windows)
-            buf = np.frombuffer(flat, np.uint8)
-            start, end, _ = words(buf, np.array([0, len(buf)]), ALNUM)
-            h = gram_hashes(word_hashes(buf, start, end), k)[::k]  # every window has k words
-            order = np.argsort(h, kind="stable")
-            keys = list(windows)
-            self.by_length.append((k, h[order], [keys[i] for i in order], [sorted(windows[keys[i]]) for i in order]))
-
-
-def normal_words(text: bytes) -> list[bytes]:
-    low = LOWER[np.frombuffer(text, np.uint8)]
-    start, end, _ = words(low, np.array([0, len(low)]), ALNUM)
-    flat = low.tobytes()
-    return [flat[a:b] for a, b in zip(start, end)]
-
-
-def scan(buf: np.ndarray, offs: np.ndarray, wanted: Windows) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, set[int]]]]:
-    """Of a block of documents: the first word of each, flags of the words hit, and the documents' items."""
+        for k in range(1, n + 1):  # an item of k < n words is one window
+            at = np.flatnonzero(left >= n) if k == n else first[:-1][per == k]
+            if len(at):
+                g = gram_hashes(h, k)[at]
+                order = np.argsort(g, kind="stable")
+                self.by_length.append((k, g[order], at[order].astype(np.int32)))
+
+    def equal(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        """Whether the k words from x of a text are those from y of the items."""
+        same = np.ones(len(x), bool)
+        for t in range(k):
+            same &= size[x + t] == self.size[y + t]
+            which = np.flatnonzero(same)
+            a, b = x[which] + t, y[which] + t
+            same[which] = equal_spans(buf, start[a], self.buf, self.start[b], size[a])
+        return same
+
+
+def scan(buf: np.ndarray, offs: np.ndarray, wanted: Windows) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """Of a block of documents: the first word of each, flags of the words hit, and the ids of the documents' items."""
     low = LOWER[buf]
     start, end, first = words(low, offs, ALNUM)
-    h = word_hashes(low, start, end)
-    hit_at, hit_to, items = [], [], defaultdict(set)
-    for k, hashes, keys, owners in wanted.by_length:
+    h, low, size = word_hashes(low, start, end), padded(low), end - start
+    hit_at, hit_to, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+    for k, hashes, places in wanted.by_length:
         g = gram_hashes(h, k)
-        if not len(g):
-            continue
         at = np.searchsorted(hashes, g)
-        at[at == len(hashes)] = 0
-        for i in np.flatnonzero(hashes[at] == g):
-            doc = int(np.searchsorted(first, i, "right")) - 1
-            if i + k > first[doc + 1]:
-                continue
-            text, j = b" ".join(low[a:b].tobytes() for a, b in zip(start[i : i + k], end[i : i + k])), int(at[i])
-            while j < len(hashes) and hashes[j] == g[i]:
-                if keys[j] == text:
-                    hit_at.append(i)
-                    hit_to.append(i + k)
-                    items[doc].update(owners[j])
-                j += 1
-    return first, cover(len(h), np.array(hit_at, np.int64), np.array(hit_to, np.int64)), items
+        some = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == g)
+        doc = np.searchsorted(first, some, "right") - 1
+        inside = some + k <= first[doc + 1]
+        some, doc = some[inside], doc[inside]
+        many = np.searchsorted(hashes, g[some], "right") - at[some]
+        upto = np.cumsum(many)
+        for a in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+            pair = np.arange(a, min(a + PAIRS, int(upto[-1])))
+            w = np.searchsorted(upto, pair, "right")
+            x, y = some[w], places[at[some[w]] + pair - (upto[w] - many[w])].astype(np.int64)
+            same = wanted.equal(low, start, size, x, y, k)
+            item = np.searchsorted(wanted.first, y[same], "right") - 1
+            hit = np.unique(x[same])
+            hit_at.append(hit)
+            hit_to.append(hit + k)
+            found.append(np.unique(np.stack([doc[w][same], wanted.ids[item]], 1), axis=0))
+    items: dict[int, list[int]] = defaultdict(list)
+    for d, i in np.unique(np.concatenate(found), axis=0).tolist():
+        items[d].append(i)
+    return first, cover(len(h), np.concatenate(hit_at), np.concatenate(hit_to)), items
 
 
 def benchmark_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of at most `block` bytes of text."""
+    """The items in lists of at most `block` bytes of text, or one item."""
     size, out = 0, []
-    for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").dropDuplicates().toLocalIterator():
-        if out and size + len(row["text"]) > block:
+    for row in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates().toLocalIterator():
+        n = len(row["text"].encode())
+        if out and size + n > block:
             yield out
             size, out = 0, []
         out.append((row["item_id"], row["text"]))
-        size += len(row["text"])
+        size += n
     yield out
 
 
 def scanned(docs: DataFrame, items: list[tuple[int, str]], n: int) -> DataFrame:
-    """doc_id, n_words, hits (one bit a word, packed; null if none) and items (their ids as int64; null if none)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    cache: list[Windows] = []
+    """doc_id, key (a hash of the text), n_words, hits (one bit a word, packed; null if none) and items (their ids as int64; null if none)."""
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.append(Windows(shared.value, n))
         for rows, buf, offs in text_blocks(batches):
-            first, hit, found = scan(buf, offs, cache[0])
+            first, hit, found = scan(buf, offs, shared.value)
             bits = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() if d in found else None for d in range(len(offs) - 1)]
-            ids = [np.array(sorted(found[d]), np.int64).tobytes() if d in found else None for d in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), pa.array(bits, pa.binary()), pa.array(ids, pa.binary())], names=["doc_id", "n_words", "hits", "items"])
+            ids = [np.array(found[d], np.int64).tobytes() if d in found else None for d in range(len(offs) - 1)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), pa.array(np.diff(first)), pa.array(bits, pa.binary()), pa.array(ids, pa.binary())], names=["doc_id", "key", "n_words", "hits", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, hits binary, items binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, n_words long, hits binary, items binary")
 
 
-FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary"
+FOUND = "doc_id long, key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary"
 
 
 def digests(batches: Iterator[pa.RecordBatch], min_items: int) -> Iterator[pa.RecordBatch]:
@@ -133,50 +146,55 @@ def digests(batches: Iterator[pa.RecordBatch], min_items: int) -> Iterator[pa.Re
             sha.append(name)
             bits.append(None if h is None else h.tobytes())
         n_items = np.array(n_items, np.int64)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(sha, pa.string()), pa.array(n_items >= min_items), pa.array(bits, pa.binary())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"])
+        cols = [rows.column("doc_id"), rows.column("key"), rows.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(sha, pa.string()), pa.array(n_items >= min_items), pa.array(bits, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (one bit a word, packed; null if none)."""
-    return contaminations(docs, benchmark_blocks(benchmark, block), n, min_items)
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (one bit a word, packed; null if none)."""
+    parts = [scanned(docs, items, n) for items in benchmark_blocks(benchmark, block)]
+    if len(parts) == 1:
+        return parts[0].mapInArrow(lambda batches: digests(batches, min_items), FOUND).drop("key")
+    # rows of one id and text come together; each stands in every block's scan once
+    out = merged(parts).withColumn("_copy", F.explode(F.expr(f"sequence(1, cast(_rows DIV {len(parts)} AS int))")))
+    return out.drop("_copy", "_rows").mapInArrow(lambda batches: digests(batches, min_items), FOUND).drop("key")
 
 
-def contaminations(docs: DataFrame, blocks: Iterable[list[tuple[int, str]]], n: int, min_items: int) -> DataFrame:
-    """The same for a benchmark in blocks."""
-    parts = [scanned(docs, items, n) for items in blocks]
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """A row for each document of several blocks' scans, with the lists of what they found and the number of rows."""
     out = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    return out.mapInArrow(lambda batches: digests(batches, min_items), FOUND)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("doc_id", "key", "n_words").agg(F.collect_set("hits").alias("hits"), F.collect_set("items").alias("items"), F.count("*").alias("_rows"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, block: int = BLOCK, spans: bool = True) -> DataFrame:
     """docs without contaminated documents (those with windows of `min_items` or more items, of any blocks); from the
     others the spans of words that are hit are cut out of the text, if `spans`. Columns are those of docs."""
     names, schema = docs.columns, docs.schema
-    parts = benchmark_blocks(benchmark, block)
-    some = list(itertools.islice(parts, 2))
-    shared = docs.sparkSession.sparkContext.broadcast(some[0]) if len(some) == 1 else None
+    inner = [f"_in{i}" for i in range(len(names))]  # the operator's columns may clash with the table's
+    at_text, at_id = names.index("text"), names.index("doc_id")
+    blocks = benchmark_blocks(benchmark, block)
+    some = list(itertools.islice(blocks, 2))
+    rows = docs.toDF(*inner)
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(some[0], n)) if len(some) == 1 else None
     if not shared:
-        found = contaminations(docs, itertools.chain(some, parts), n, min_items).filter("n_items > 0").select(F.col("doc_id").alias("_found_id"), F.col("hits").alias("_hits"), F.col("contaminated").alias("_gone"))
-        docs = docs.join(found, F.col("doc_id").cast("long") == F.col("_found_id"), "left").filter("_gone IS NULL OR NOT _gone").select(*names, "_hits")
-    cache: list[Windows] = []
+        found = merged([scanned(docs, items, n) for items in itertools.chain(some, blocks)]).drop("_rows").mapInArrow(lambda b: digests(b, min_items), FOUND)
+        found = found.filter("n_items > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("hits").alias("_hits"), F.col("contaminated").alias("_gone"))
+        mine = F.col(inner[at_id]).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(inner[at_text]) == F.col("_key"))
+        rows = rows.join(found, mine, "left").filter("_gone IS NULL OR NOT _gone").select(*inner, "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared and not cache:
-            cache.append(Windows(shared.value, n))
-        for rows, buf, offs in text_blocks(batches):
-            keep = np.ones(rows.num_rows, bool)
+        for part, buf, offs in text_blocks(batches, inner[at_text]):
+            keep = np.ones(part.num_rows, bool)
             if shared:
-                first, hit, items = scan(buf, offs, cache[0])
+                first, hit, items = scan(buf, offs, shared.value)
                 hits = {d: hit[first[d] : first[d + 1]] for d in items}
                 for d, ids in items.items():
                     keep[d] = len(ids) < min_items
             else:
-                hits = {d: np.unpackbits(np.frombuffer(x, np.uint8)) for d, x in enumerate(rows.column("_hits").to_pylist()) if x}
-            texts = rows.column("text")
+                hits = {d: np.unpackbits(np.frombuffer(x, np.uint8)) for d, x in enumerate(part.column("_hits").to_pylist()) if x}
+            texts = part.column(at_text)
             if hits and spans:
                 start, end, first = words(LOWER[buf], offs, ALNUM)
                 new = texts.to_pylist()
@@ -184,15 +202,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_i
                     if keep[d]:
                         new[d] = without_spans(buf, offs[d], offs[d + 1], start[first[d] : first[d + 1]], end[first[d] : first[d + 1]], h[: first[d + 1] - first[d]])
                 texts = pa.array(new, texts.type)
-            out = [texts if c == "text" else rows.column(i) for i, c in enumerate(names)]
-            if "n_chars" in names:
-                import pyarrow.compute as pc
-
-                at = names.index("n_chars")
-                out[at] = pc.if_else(pc.equal(texts, rows.column("text")), out[at], pc.utf8_length(texts).cast(out[at].type)) if hits else out[at]
+            out = [texts if i == at_text else part.column(i) for i in range(len(names))]
+            if "n_chars" in names and hits:
+                i = names.index("n_chars")
+                out[i] = pc.if_else(pc.equal(texts, part.column(at_text)), out[i], pc.utf8_length(texts).cast(out[i].type))
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def without_spans(buf: np.ndarray, at: int, to: int, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> str:

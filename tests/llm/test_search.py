@@ -186,3 +186,38 @@ def test_word_hashes_of_crafted_words():
     start, end, _ = words(buf, np.array([0, len(buf)]), SPACED)
     h = word_hashes(buf, start, end)
     assert len(np.unique(h)) == 8 and h[6] == h[8]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontamination_of_repeated_rows(spark, block):
+    """Rows that stand twice, one id with two texts, null ids of documents and items: a row each, whatever the blocks."""
+    w = [f"w{k}" for k in range(30)]
+    text, other = "a " + " ".join(w[:9]) + " b " + " ".join(w[20:29]), "c " + " ".join(w[2:12])
+    rows = [(1, text, "x"), (1, text, "x"), (1, other, "y"), (None, other, "z"), (2, None, "n"), (2, None, "n"), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(5, " ".join(w[:9])), (5, " ".join(w[:9])), (6, " ".join(w[20:29])), (None, " ".join(w[2:12])), (7, None)], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in D.contamination(docs, bench, block=block).collect())
+    assert got == [("1", 11, 0, 0, False), ("1", 20, 18, 2, True), ("1", 20, 18, 2, True), ("2", 0, 0, 0, False), ("2", 0, 0, 0, False), ("3", 0, 0, 0, False), ("None", 11, 0, 0, False)]
+    left = sorted(map(str, D.remove_contaminated(docs, bench, block=block).collect()))
+    assert left == sorted(str(r) for r in docs.collect() if r["text"] != text)
+
+
+def test_decontamination_of_a_long_text(spark):
+    """A text of 200,000 words that holds one window many times, and items that share it."""
+    window = " ".join(f"w{k}" for k in range(8))
+    text = " ".join(f"{window} x{k}" for k in range(22_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"y{k} {window} z{k}") for k in range(30)], "item_id long, text string")
+    r = D.contamination(docs, bench).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (198_000, 176_000, 30)
+
+
+def test_dedup_of_long_texts(spark, scratch):
+    """Texts of 200,000 words, one of them with a changed word in the middle."""
+    w = [f"v{k}" for k in range(200_000)]
+    texts = {1: " ".join(w), 2: " ".join(w[:100_000] + ["changed"] + w[100_001:]), 3: " ".join(w[:1000])}
+    d = frame(spark, texts)
+    assert {r["doc_id"]: r["component_id"] for r in J.near_duplicates(d, scratch).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["n_removed"] for r in U.dedup_words(d, scratch).collect()} == {1: 199_999, 2: 199_999, 3: 1000}
+    n = {i: len(t) for i, t in texts.items()}
+    assert {r["doc_id"]: r["n_removed"] for r in S.dedup_bytes(d, scratch).collect()} == {1: n[1] - len("v100000"), 2: n[2] - len("changed"), 3: n[3]}
