@@ -307,3 +307,46 @@ def test_classifier_cells():
     doc, f = M.cells(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64))
     assert [f[doc == d].tolist() for d in range(4)] == [one(t) for t in texts] and all(len(set(one(t))) == len(one(t)) for t in texts)
     assert set(one(b"two two")) != set(one(b"two")) and all(0 <= x < M.DIMENSIONS for x in f.tolist())
+
+
+def unmarked(k, r, words):
+    """A page of arbitrary class names without any marked part, and its main text."""
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    title, paras = say(5), [say(r.randint(15, 60)) for _ in range(r.randint(2, 7))]
+    menu = "".join(f"<li><a href='/{j}'>{say(1)}</a></li>" for j in range(r.randint(3, 6)))
+    body = f"<h2>{title}</h2>" + "".join(f"<p>{p}</p>" for p in paras[:-1]) + f"<div class='q3'><p>{paras[-1]}</p></div>"
+    html = f"<div class='x1'><ul class='x2'>{menu}</ul></div><div class='x9'>{say(6)}</div><div class='k0'><div class='k1'>{body}<p>Printed by the shop of this site</p></div></div><div class='x7'>Call us {say(2)}</div>"
+    return page(html), "\n".join([title, *paras])
+
+
+def test_wrappers_separate_pages_without_an_article(spark, scratch):
+    """Nothing but the alignment of the host's pages tells its menu, its other slots and its fixed texts from the article."""
+    import random
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    rows, want = [], {}
+    for k in range(60):
+        html, text = unmarked(k, r, words)
+        rows.append((k, f"http://host{k % 3}.example/{k}", html))
+        want[k] = text
+    got = {x["page_id"]: x["text"] for x in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert got == want
+
+
+def test_named_parts_of_an_article(spark, scratch):
+    """Containers of an article that are named as something else stay, unless their text is the host's template."""
+    body = lambda k, name: page(f"<article><h1>Same title</h1><p>Text {k}</p><section class='{name}'><p>Own {k}</p></section><div class='share'>Tell your friends</div><div class='comments'>Nice {k}</div></article>")
+    names = ["legal", "tags", "related-work", "notice", "social"]
+    rows = [(k, "http://a/", body(k, names[k % 5])) for k in range(20)]
+    rows.append((50, "http://b/", body(7, "notice")))  # a host of one page: nothing is known to be fixed
+    out = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert out == {k: f"Same title\nText {k}\nOwn {k}" for k in range(20)} | {50: "Same title\nText 7\nOwn 7\nTell your friends"}
+
+
+def test_large_wrappers_are_dealt_by_host(spark, scratch, monkeypatch):
+    monkeypatch.setattr(H, "BROADCAST", 0)
+    body = lambda k: page(f"<div><h1>Title {k}</h1><p>Text {k}</p><h3>All</h3></div>")
+    rows = [(k, f"http://{'hot' if k % 3 else k}/", body(k)) for k in range(30)]
+    out = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert out == {k: f"Title {k}\nText {k}" + ("" if k % 3 else "\nAll") for k in range(30)}
