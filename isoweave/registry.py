@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ("tiles", "addresses", "points", "catalog", "fields", "naming", "encoding", "files", "streams"):
+for _name in ("tiles", "addresses", "points", "catalog", "fields", "naming", "encoding", "files", "streams", "resample"):
     importlib.import_module(f"isoweave.plans.{_name}")

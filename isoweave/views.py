@@ -8,6 +8,10 @@ points customers as sampling points, some of them off the grid
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,18 @@ from . import reachable
 GRID = {"nx": 20, "ny": 20, "lat0": 40.0, "lon0": 0.0, "dy": 0.5, "dx": 0.5}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for datasets that queries write: spark.checkpoint.dir, or in a local session without one a folder of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="isoweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
