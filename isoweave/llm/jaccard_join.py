@@ -86,16 +86,16 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SETS.split(", ")]
     for rows, buf, offs in text_blocks(batches):
         h, first = shingle_hashes(buf, offs)
-        out = []
+        out, held = [], []
         for doc, a, b in zip(rows.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist()):
             if a == b:
                 out.append((doc, 0, doc, 0, None, None))
                 continue
             k = np.unique(h[a:b])
-            counts += np.bincount((k & cells).astype(np.int64), minlength=len(counts)) if b - a > len(counts) else 0
-            if b - a <= len(counts):
-                np.add.at(counts, (k & cells).astype(np.int64), 1)
+            held.append((k & cells).astype(np.int64))
             out.append((doc, len(k), int(mix(k).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(k + np.uint64(0x51))).astype(np.int64)), None, None))
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
     if counts.any():
         none = [None] * SKETCH_ROWS

@@ -56,3 +56,40 @@ def test_run(spark, folder):
     assert rows and max(r["bin_size"] for r in rows) <= max(packing.SIZES)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert decontaminate.N == 8
+
+
+def test_first_and_last_stage_against_plain_versions(spark, folder):
+    """The quality rules by Python's counts and logarithms, and the packing step by step."""
+    import math
+
+    from test_models_and_output import plain_pack
+    from test_rules_and_lines import grams
+
+    top, items = folder
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    n = quality_rules.BUCKETS
+    raw, trusted = [1] * n, [1] * n
+    for counts, some in ((raw, texts.values()), (trusted, [t for _, t in items])):
+        for t in some:
+            for b in grams(t, n):
+                counts[b] += 1
+    ratio = [math.log(b / sum(trusted)) - math.log(a / sum(raw)) for a, b in zip(raw, trusted)]
+    want = set()
+    for i, t in texts.items():
+        base, g = brute.base_counts(t), grams(t, n)
+        failed = base["n_words"] < 10 or 100 * base["n_repeat_words"] > 20 * base["n_words"]
+        if not failed and sum(ratio[b] for b in g) / len(g) >= quality_rules.THRESHOLD:
+            want.add(i)
+    out = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, top)
+    assert {r["doc_id"] for r in out.collect()} == want and 0 < len(want) < len(texts)
+
+    size, pieces = max(packing.SIZES), []
+    for i, t in texts.items():
+        words = len(brute.words(t)) + 1
+        pieces += [(min(size, words - k * size), i, k) for k in range((words - 1) // size + 1)]
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    places, final = plain_pack([p[0] for p in pieces], packing.SIZES)
+    want = {(i, k): (n_, b, at, final[b]) for (n_, i, k), (b, at) in zip(pieces, places)}
+    rows = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, top).collect()
+    assert {(r["doc_id"], r["piece"]): (r["n_tokens"], r["bin_id"], r["bin_at"], r["bin_size"]) for r in rows} == want
