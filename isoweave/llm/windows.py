@@ -195,7 +195,7 @@ def judged(kind: Kind, batch_windows: int) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for name, anchor, bucket, at, n, k, s, only in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "bucket", "at", "n", "k", "packed", "only"))):
                 if (anchor, bucket) != last:
-                    if size > batch_windows:
+                    if size > batch_windows // 4:  # so that with the next one, of `batch_windows` at most, it is little more
                         yield judge(groups)
                         groups, size = [], 0
                     groups.append({})
