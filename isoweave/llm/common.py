@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,12 +261,12 @@ def may_be_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
     words_[got.column("w").to_numpy()] = got.column("b").to_numpy()
     shared = spark.sparkContext.broadcast(words_)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        x, have, mask = h.to_numpy(np.int64).astype(U64), shared.value.view(U64), U64(bits - 1)
+    @F.arrow_udf("boolean")  # not by pandas, which each worker would load
+    def test(h: pa.Array) -> pa.Array:
+        x, have, mask = h.to_numpy(zero_copy_only=False).astype(np.int64).view(U64), shared.value.view(U64), U64(bits - 1)
         out = np.ones(len(x), bool)
         for p in (x & mask, (x >> U64(32)) & mask):
             out &= (have[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1) == 1
-        return pd.Series(out)
+        return pa.array(out)
 
     return lambda x: test(F.xxhash64(x))
