@@ -28,6 +28,8 @@ from .common import Scratch, hot_join, may_be_in, sliding_min, text_blocks
 
 #: Windows that are sorted at a time.
 BATCH_WINDOWS = 400_000
+#: Bytes of text whose stretches are sought at a time; some hundred bytes are held for each.
+MARK_BYTES = 1 << 18
 #: Bytes of strings and places that a packing task holds at a time.
 PACK_BYTES = 16 << 20
 Marked = Callable[[list[bytes], np.ndarray, np.ndarray, "np.ndarray | None"], np.ndarray]
@@ -78,7 +80,7 @@ def stretches(kind: Kind, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
 
 def marks_of(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in text_blocks(batches):
+        for rows, buf, offs in text_blocks(batches, limit=MARK_BYTES):
             doc, at, n, anchor = stretches(kind, buf, offs)
             ids = rows.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor)], names=["doc_id", "at", "n", "anchor"])
