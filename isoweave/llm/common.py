@@ -11,7 +11,7 @@ import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,32 +241,28 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total
     return big.join(F.broadcast(hot), keys).unionByName(others)
 
 
-#: Bits of the largest set of ids that is broadcast (8 MB).
+#: Bits of the largest map of ids that is broadcast: 64 in a row, so 2**20 rows of two numbers.
 ID_BITS = 1 << 26
 
 
-def may_be_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test for a column of ids: true for all in ids.column, and for few others while there are under ID_BITS / 16 ids.
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """docs in two parts, with docs' columns and rows: those whose `column` may be in ids.column (all that are, and a few in
+    a hundred of the others while there are under ID_BITS / 16 ids; beyond that more of them), and those for which it can't.
 
-    The ids' hashes set bits of a map of bounded size, made by partial aggregates; larger sets pass more of the others.
+    Each id's hash chooses a word of a bit map and three bits in it; the map, of bounded size, is made by partial
+    aggregates and broadcast, and docs meet it in a hash join: no text is dealt or sent to Python for it. A null is an id like any other.
     """
-    spark, bits = ids.sparkSession, 1 << 10
-    n = ids.count()
-    while bits < min(16 * n, ID_BITS):
-        bits *= 2
-    h = F.xxhash64(column)
-    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("p")
-    got = ids.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    words_ = np.zeros(bits >> 6, np.int64)
-    words_[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    shared = spark.sparkContext.broadcast(words_)
-
-    @F.arrow_udf("boolean")  # not by pandas, which each worker would load
-    def test(h: pa.Array) -> pa.Array:
-        x, have, mask = h.to_numpy(zero_copy_only=False).astype(np.int64).view(U64), shared.value.view(U64), U64(bits - 1)
-        out = np.ones(len(x), bool)
-        for p in (x & mask, (x >> U64(32)) & mask):
-            out &= (have[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1) == 1
-        return pa.array(out)
-
-    return lambda x: test(F.xxhash64(x))
+    n, size = ids.count(), 1 << 4
+    while size * 64 < min(16 * n, ID_BITS):
+        size *= 2
+
+    def word_and_bits(frame: DataFrame) -> tuple[Column, Column]:
+        h = F.xxhash64(frame[column].cast("long"))
+        one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int"))
+        return h.bitwiseAND(F.lit(size - 1)), one(32).bitwiseOR(one(40)).bitwiseOR(one(48))
+
+    word, bits = word_and_bits(ids)
+    marks = F.broadcast(ids.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    word, bits = word_and_bits(docs)
+    there = (word == marks["word"]) & (marks["bits"].bitwiseAND(bits) == bits)
+    return docs.join(marks, there, "left_semi"), docs.join(marks, there, "left_anti")

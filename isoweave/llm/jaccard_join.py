@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Scratch, gram_hashes, hot_join, may_be_in, mix, table, text_blocks, word_hashes, words
+from .common import LOWER, SPACED, Scratch, gram_hashes, hot_join, mix, split_by_ids, table, text_blocks, word_hashes, words
 
 SHINGLE = 5
 SKETCH_BITS, SKETCH_ROWS = 18, 64
@@ -508,7 +508,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, family: int = FAMILY) ->
 
     owners = scratch.cut(screened(docs, shared).withColumnRenamed("owner", "s1"))
     reps = scratch.cut(distinct.join(owners, "s1", "left_semi").filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")))
-    texts = scratch.cut(docs.filter(may_be_in(reps, "doc_id")(F.col("doc_id"))).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = scratch.cut(split_by_ids(docs, reps)[0].join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     scratch.drop(owners, reps)
     left = scratch.cut(common_enough(texts, shared))
     fewer = scratch.cut(texts.join(left.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi"))
@@ -538,8 +538,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, family: int = FAMILY) ->
 def first_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs less those that are linked, over any number of links, with one of a smaller doc_id."""
     later = scratch.cut(near_duplicates(docs.select("doc_id", "text"), scratch).filter("component_id != doc_id").select("doc_id").distinct())
-    maybe = may_be_in(later, "doc_id")(F.col("doc_id").cast("long"))  # so that few texts are dealt for the join
-    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(later, "doc_id", "left_anti").select(*docs.columns))
+    maybe, others = split_by_ids(docs, later)  # so that few texts are dealt for the join
+    return others.unionByName(maybe.join(later, "doc_id", "left_anti").select(*docs.columns))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

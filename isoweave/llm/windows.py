@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_join, may_be_in, sliding_min, text_blocks
+from .common import Scratch, hot_join, sliding_min, split_by_ids, text_blocks
 
 #: Windows that are sorted at a time.
 BATCH_WINDOWS = 400_000
@@ -276,6 +276,6 @@ def with_ranges(docs: DataFrame, kind: Kind, scratch: Scratch, batch: int = BATC
     # one row for each document that loses anything, so that only their texts are dealt, once
     loses = scratch.cut(ranges.join(copies.select("doc_id", F.lit(True).alias("_copy")), "doc_id", "full_outer").select("doc_id", "_a", "_b", F.coalesce("_copy", F.lit(False)).alias("_copy")))
     scratch.drop(copies)
-    maybe = may_be_in(loses, "doc_id")(F.col("doc_id"))
+    maybe, others = split_by_ids(docs, loses)
     none = [F.lit(None).cast("array<bigint>").alias("_a"), F.lit(None).cast("array<bigint>").alias("_b"), F.lit(False).alias("_copy")]
-    return docs.filter(~maybe).select("*", *none).unionByName(docs.filter(maybe).join(loses, "doc_id", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))))
+    return others.select("*", *none).unionByName(maybe.join(loses, "doc_id", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))))

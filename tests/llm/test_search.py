@@ -7,6 +7,7 @@ from isoweave.llm import substring_dedup as U
 from isoweave.llm import suffix_dedup as S
 from isoweave.llm import windows as W
 import hashlib
+from collections import Counter
 import re
 from conftest import frame, some_texts
 
@@ -221,3 +222,19 @@ def test_dedup_of_long_texts(spark, scratch):
     assert {r["doc_id"]: r["n_removed"] for r in U.dedup_words(d, scratch).collect()} == {1: 199_999, 2: 199_999, 3: 1000}
     n = {i: len(t) for i, t in texts.items()}
     assert {r["doc_id"]: r["n_removed"] for r in S.dedup_bytes(d, scratch).collect()} == {1: n[1] - len("v100000"), 2: n[2] - len("changed"), 3: n[3]}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_split_by_ids(spark, n):
+    from isoweave.llm.common import split_by_ids
+
+    ids = spark.createDataFrame([(i * 7 - 300,) for i in range(n)] + [(None,)] * (n > 0), "doc_id long")
+    rows = [(i, str(i), i) for i in range(-500, 3000)] + [(None, "x", 0), (None, "y", 1), (7, "again", 2), (7, "again", 2)]
+    docs = spark.createDataFrame(rows, "doc_id int, word string, bits int")
+    maybe, others = split_by_ids(docs, ids)
+    assert maybe.columns == others.columns == docs.columns
+    a, b = ([tuple(r) for r in x.collect()] for x in (maybe, others))
+    assert Counter(a + b) == Counter(rows)
+    have = {r["doc_id"] for r in ids.collect()}
+    assert not [r for r in b if r[0] in have]
+    assert len([r for r in a if r[0] not in have]) < len(rows) / 20
