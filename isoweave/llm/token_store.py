@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, equal_spans, gram_hashes, hot_join, mix, padded, separators, table, text_blocks, word_hashes, words
+from .common import LOWER, Scratch, equal_spans, gram_hashes, hot_join, lean, mix, padded, separators, short_batches, table, text_blocks, word_hashes, words
 
 WINDOW, MEAN, END = 8, 512, 1
 #: Distinct pieces that a worker keeps encoded; beyond, it starts over.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 #: Marks that no pre-token shares with letters or digits, and the bytes that surely part words.
 MARKED = np.zeros(256, bool)
 MARKED[list(b".,;:!?%*#$&|")] = True
@@ -81,9 +81,10 @@ class Merkle:
 
 
 class HashTable:
-    """int32 values by 64-bit hashes: open addressing, looked up and filled by whole arrays."""
+    """int32 values by 64-bit hashes: open addressing, looked up and filled by whole arrays; grows to stay half empty."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 16):
+        self.used = 0
         self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
 
     def get(self, h: np.ndarray) -> np.ndarray:
@@ -99,6 +100,12 @@ class HashTable:
 
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
         """Hashes that are all different and not there yet."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            there = np.flatnonzero(self.keys)
+            keys, old = self.keys[there], self.values[there]
+            self.__init__((2 * (self.used + len(h))).bit_length())
+            self.put(keys, old)
+        self.used += len(h)
         left, slot = np.arange(len(h)), h & self.mask
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -154,8 +161,8 @@ class WordEncoder:
         texts = [flat[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
         value = np.full(len(texts), -2, np.int32)
         fine = np.flatnonzero(np.fromiter(map(all_letters, texts), bool, len(texts))) if letters else np.arange(len(texts))
-        for i in range(0, len(fine), 20_000):
-            which = fine[i : i + 20_000]
+        for i in range(0, len(fine), 5000):
+            which = fine[i : i + 5000]
             some = [texts[k] for k in which.tolist()]
             begins = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
             got = self.whole.encode(" ".join(some), add_special_tokens=False)
@@ -364,14 +371,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """The store of all documents below `path`."""
     spark = docs.sparkSession
     staged = f"{path}/staged"
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: encode_and_cut(b, tokenizer), STAGED)
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(lambda b: encode_and_cut(b, tokenizer)), STAGED)
+    with short_batches(spark):
+        rows.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     back = spark.read.schema(STAGED).parquet(staged)
     chunks = back.filter("kind = 0").select("digest", "row", "idx", "data", "n_refs")
-    chunks.repartition(n, "digest").sortWithinPartitions("digest", "row", "idx").mapInArrow(first_of_each, "digest binary, data binary, n_refs long, row long, idx int").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks.repartition(n, "digest").sortWithinPartitions("digest", "row", "idx").mapInArrow(lean(first_of_each), "digest binary, data binary, n_refs long, row long, idx int").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = back.filter("kind = 1").select("row", "doc_id", "n_tokens", "digest")
-    recipes.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(local_starts, "part int, row long, doc_id long, at long, n_tokens long, digests binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(lean(local_starts), "part int, row long, doc_id long, at long, n_tokens long, digests binary, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
     parts = manifest_of(spark.read.parquet(f"{path}/recipes"))
     top = (-1, sum(p[1] for p in parts), sum(p[2] for p in parts), merkle([p[3] for p in parts]))
     spark.createDataFrame([top, *parts], "part int, docs long, tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
@@ -438,7 +446,7 @@ def read_store(spark: SparkSession, path: str, width: int, take: object, schema:
     foreign = hot_join(refs, shared, ["digest"], "n_refs", total).filter((F.col("row") != F.col("of")) | (F.col("idx") != F.col("of_idx"))).select("row", "idx", *none, "data")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = heads.unionByName(own).unionByName(foreign).repartition(n, "row").sortWithinPartitions("row", "idx")
-    return rows.mapInArrow(lambda b: assemble(b, width, take), schema)
+    return rows.mapInArrow(lean(lambda b: assemble(b, width, take)), schema)
 
 
 def crc_rows(width: int) -> object:

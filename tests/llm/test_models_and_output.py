@@ -350,3 +350,13 @@ def test_large_wrappers_are_dealt_by_host(spark, scratch, monkeypatch):
     rows = [(k, f"http://{'hot' if k % 3 else k}/", body(k)) for k in range(30)]
     out = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
     assert out == {k: f"Title {k}\nText {k}" + ("" if k % 3 else "\nAll") for k in range(30)}
+
+
+def test_hash_table_grows_with_what_it_holds():
+    t = T.HashTable()
+    assert t.keys.nbytes + t.values.nbytes <= 1 << 20  # an idle worker's table is no burden
+    keys = np.random.default_rng(0).permutation(300_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    for i in range(0, 200_000, 70_000):
+        t.put(keys[i : min(i + 70_000, 200_000)], np.arange(i, min(i + 70_000, 200_000), dtype=np.int32))
+    assert (t.get(keys[:200_000]) == np.arange(200_000)).all() and (t.get(keys[200_000:]) == -1).all()
+    assert 400_000 <= len(t.keys) <= 1 << 20

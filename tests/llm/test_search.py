@@ -238,3 +238,14 @@ def test_split_by_ids(spark, n):
     have = {r["doc_id"] for r in ids.collect()}
     assert not [r for r in b if r[0] in have]
     assert len([r for r in a if r[0] not in have]) < len(rows) / 20
+
+
+def test_whole_texts_reach_python_in_short_batches(spark, scratch):
+    import pyarrow as pa
+    from isoweave.llm import common
+
+    docs, before = spark.range(0, 5000, 1, 1), spark.conf.get(common.ROWS_CONF)
+    sizes = lambda batches: (b.select(["id"]).slice(0, 1).set_column(0, "id", pa.array([b.num_rows])) for b in batches)
+    out = scratch.cut(docs.mapInArrow(common.lean(sizes), "id long"), texts=True)
+    got = [r.id for r in out.collect()]
+    assert sum(got) == 5000 and max(got) <= common.TEXT_ROWS and spark.conf.get(common.ROWS_CONF) == before
