@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Scratch, equal_spans, gram_hashes, mix, padded, table, text_blocks, word_hashes, words
+from .common import SPACED, Scratch, equal_spans, gram_hashes, lean, mix, padded, table, text_blocks, word_hashes, words
 from .suffix_dedup import removed
 from .windows import BATCH_WINDOWS, Kind, with_ranges
 
@@ -110,7 +110,8 @@ def cut_words(with_text: bool) -> object:
 def dedup_words(docs: DataFrame, scratch: Scratch, with_text: bool = False, batch: int = BATCH_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept (the words left; null unless `with_text`)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return with_ranges(plain, WORDS, scratch, batch).mapInArrow(cut_words(with_text), OUT)
+    out = with_ranges(plain, WORDS, scratch, batch).mapInArrow(lean(cut_words(with_text)), OUT)
+    return out if with_text else scratch.cut(out, texts=True)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cover, mix, prefix_hash, span_hash, table, text_blocks
+from .common import Scratch, cover, lean, mix, prefix_hash, span_hash, table, text_blocks
 from .windows import BATCH_WINDOWS, Kind, with_ranges
 
 WIDTH, GRAM = 200, 48
@@ -152,7 +152,8 @@ def cut_bytes(with_text: bool) -> object:
 def dedup_bytes(docs: DataFrame, scratch: Scratch, with_text: bool = False, batch: int = BATCH_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left; null unless `with_text`)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return with_ranges(plain, BYTES, scratch, batch).mapInArrow(cut_bytes(with_text), OUT)
+    out = with_ranges(plain, BYTES, scratch, batch).mapInArrow(lean(cut_bytes(with_text)), OUT)
+    return out if with_text else scratch.cut(out, texts=True)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,3 +249,13 @@ def test_whole_texts_reach_python_in_short_batches(spark, scratch):
     out = scratch.cut(docs.mapInArrow(common.lean(sizes), "id long"), texts=True)
     got = [r.id for r in out.collect()]
     assert sum(got) == 5000 and max(got) <= common.TEXT_ROWS and spark.conf.get(common.ROWS_CONF) == before
+
+
+@pytest.mark.parametrize("dedup", [U.dedup_words, S.dedup_bytes])
+def test_dedup_reads_texts_in_short_batches(spark, docs, scratch, monkeypatch, dedup):
+    from isoweave.llm import common
+
+    rows = []
+    monkeypatch.setattr(common, "short_batches", lambda spark: rows.append(1) or common.nullcontext())
+    assert dedup(docs, scratch).count() == docs.count()
+    assert len(rows) == 3  # marking, packing, cutting
