@@ -1,57 +1,52 @@
 """Main text of web pages by wrappers inferred per host: union-free regular expressions over token streams.
 
 A page becomes a stream of tags (with class or id) and texts. Runs of equal neighbours collapse into repeated
-groups (X)+. The streams of at most `SAMPLES` pages of a host are aligned one after the other: equal tokens stay,
-differing texts become slots, what only one side has becomes an optional group (X)?. Pages with a marked article or
-main part have a wrapper of their own. The wrapper tells, for every page of the host:
-* texts that never changed outside repeated groups, although the pages did, are candidates for the template;
-* the region: the innermost element that holds `REGION_SHARE` of the text in slots and groups, whatever its name;
-  what lies outside is not content;
-* repeated groups of nothing but links are menus.
+groups (X)+. All different pages of a host make its wrapper, none stand for others:
+* fixed texts: those outside repeated groups that stand, at one path, on at least `LEAST` different pages of the host
+  and on `SHARE` of all its different pages of the same kind (with or without a marked article or main part);
+* their order, by their mean place on these pages. Every page is aligned with it: the longest run of its fixed texts
+  that comes in this order is the template's, what lies between are slots and groups;
+* the region: the innermost element that holds `REGION_SHARE` of the text of all pages in slots and groups, whatever its
+  name; what lies outside is not content;
+* menus: paths that some page repeats and that have nothing but links in the slots of all pages.
 On pages with a marked article the article is the region; all of it is content, but for template texts in containers
 that are named as something else (notices, sharing, tags). What HTML itself says is no article (nav, header, footer,
 aside, form, dialog, hidden, their roles), adverts and reader comments are left out everywhere. Only for hosts without
 a wrapper do the names of containers decide.
 
-A candidate is the template's if it stands on at least `LEAST` different pages of the host and on `SHARE` of all its
-different pages of the same kind, counted over every page. Pages of equal content are one page, both in the sample and
-in the counts, so copies prove nothing.
+Pages of equal content are one page, so copies prove nothing. Texts are counted by 128-bit hashes, in two readings of
+all pages; what the hosts share one task for is a row for each path of a host.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by newlines in
 page order. Nothing else is dropped, whatever its length.
 
 Defined cases: null html is empty text. A null or odd url counts as a host of its own name. A host of fewer than
-`LEAST` different pages has no wrapper. A page with nothing in the host's region is taken whole. The sample goes by
-hash of the html, pages without a marked article first. Pages that differ in content but share nine tenths of their
+`LEAST` different pages has no wrapper. A page with nothing in the host's region is taken whole. A text that a page has
+several times at one path is told apart by its number. Pages that differ in content but share nine tenths of their
 texts count as different. Repeated rows are extracted each. Extra columns are ignored. Pages cut off in the middle end
 there: open elements close and an unfinished tag is dropped.
 """
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import html as entities
 import json
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, hot_join, table
 
-SAMPLES, LEAST, SHARE, REGION_SHARE, BROADCAST = 8, 3, 0.9, 0.75, 16 << 20
+LEAST, SHARE, REGION_SHARE, BROADCAST = 3, 0.9, 0.75, 16 << 20
 #: Keys of a host's wrapper beside paths; those of texts on marked pages begin with @.
-REGION, MENUS = "#region", "#menus"
-#: Streams whose lengths multiply to more are first split at the nodes that both have once.
-DIFF = 1 << 20
-#: Pages that may mark an article or main part; `blocks` decides.
-MARKED = r"(?i)<(?:article|main)\b|role\s*=\s*[\"']?(?:main|article)\b"
+ORDER, REGION, MENUS = "#order", "#region", "#menus"
 
 # Fixed values of HTML.
 RAW = "script|style|noscript|template|textarea|svg|iframe|select|title|math|object|canvas|audio|video"
@@ -158,11 +153,11 @@ def blocks(page: str) -> list[Block]:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper is a list of nodes: ("text", path, constant or None), ("+", nodes), ("?", nodes).
+# A page is a list of nodes: ("text", path, text or None, block), ("+", nodes).
 
 
 def key(node: tuple) -> object:
-    return (node[0], node[1]) if node[0] == "text" else (node[0], tuple(key(x) for x in node[1])) if node[0] == "+" else node[0]
+    return (node[0], node[1]) if node[0] == "text" else (node[0], tuple(key(x) for x in node[1]))
 
 
 def merge(a: list, b: list) -> list:
@@ -193,98 +188,18 @@ def collapse(nodes: list, longest: int = 6) -> list:
     return nodes
 
 
-def flat(nodes: list) -> list:
-    """Nodes with optional groups opened, each marked as optional."""
-    return [(x, o) for n in nodes for x, o in (flat_group(n) if n[0] == "?" else [(n, False)])]
-
-
-def flat_group(node: tuple) -> list:
-    return [(x, True) for x in node[1]]
-
-
-def opcodes(a: list, b: list, single: Callable) -> Iterator[tuple[str, int, int, int, int]]:
-    """difflib's steps from a to b; long streams are split at nodes with their texts that both have once, in order."""
-    cuts = [(len(a), len(b))]
-    if len(a) * len(b) > DIFF:
-        ka, kb = [(single(x), x[2] if x[0] == "text" else None) for x in a], [(single(y), y[2] if y[0] == "text" else None) for y in b]
-        na, nb = Counter(ka), Counter(kb)
-        at = {k: j for j, k in enumerate(kb) if nb[k] == 1}
-        pairs = [(i, at[k]) for i, k in enumerate(ka) if na[k] == 1 and k in at]
-        ends, last, before = [], [], []  # the longest rising run of places in b
-        for n, (_, j) in enumerate(pairs):
-            r = bisect_left(ends, j)
-            ends[r : r + 1], last[r : r + 1] = [j], [n]
-            before.append(last[r - 1] if r else None)
-        n, rising = last[-1] if last else None, []
-        while n is not None:
-            rising.append(pairs[n])
-            n = before[n]
-        cuts = rising[::-1] + cuts
-    i = j = 0
-    for i2, j2 in cuts:
-        if (i2 - i) * (j2 - j) > DIFF:
-            yield "replace", i, i2, j, j2
-        else:
-            for op, x, x2, y, y2 in difflib.SequenceMatcher(None, [single(x) for x in a[i:i2]], [single(y) for y in b[j:j2]], autojunk=False).get_opcodes():
-                yield op, i + x, i + x2, j + y, j + y2
-        if i2 < len(a) and j2 < len(b):
-            yield "equal", i2, i2 + 1, j2, j2 + 1
-        i, j = i2 + 1, j2 + 1
-
-
-def align(wrapper: list, page: list) -> list:
-    """The wrapper made general enough for the page as well."""
-    a, b = flat(wrapper), page
-    single = lambda n: key(n[1][0]) if n[0] == "+" and len(n[1]) == 1 else key(n)
-    out: list = []
-    for op, i, i2, j, j2 in opcodes([x for x, _ in a], b, single):
-        if op == "equal":
-            for (x, optional), y in zip(a[i:i2], b[j:j2]):
-                if x[0] == y[0]:
-                    node = merge([x], [y])[0]
-                else:  # one of them is a repeated group of the other
-                    group, one = (x, y) if x[0] == "+" else (y, x)
-                    node = ("+", merge(group[1], [one]))
-                out.append(("?", [node]) if optional else node)
-        else:
-            if i < i2:
-                out += [("?", [x]) for x, _ in a[i:i2]]
-            if j < j2:
-                out += [("?", [y]) for y in b[j:j2]]
-    return out
-
-
 def content(got: list[Block]) -> tuple[list[Block], bool]:
     """A page's blocks that can be content, and whether the page marks them as article or main part."""
     inside = [x for x in got if x.article and not x.left]
     return inside or [x for x in got if not x.left], bool(inside)
 
 
-def wrapper_of(pages: list[list[Block]]) -> list | None:
-    """The wrapper of pages that differ, if there are `LEAST` of them."""
-    seen: set[tuple] = set()
-    wrapper: list | None = None
-    for got in pages:
-        own = tuple((x.path, x.text) for x in content(got)[0])
-        if own not in seen:
-            seen.add(own)
-            nodes = collapse([("text", x.path, x.text) for x in got])
-            wrapper = nodes if wrapper is None else align(wrapper, nodes)
-    return wrapper if len(seen) >= LEAST else None
-
-
-def constants(wrapper: list) -> list[tuple[str, str]]:
-    return [(node[1], node[2]) for node in wrapper if node[0] == "text" and node[2] is not None]
-
-
-def groups(wrapper: list) -> set[str]:
+def groups(nodes: list) -> set[str]:
     """Paths of the texts in repeated groups."""
     out: set[str] = set()
-    for node in wrapper:
+    for node in nodes:
         if node[0] == "+":
             out |= {x[1] for x in node[1] if x[0] == "text"} | groups([x for x in node[1] if x[0] != "text"])
-        elif node[0] == "?":
-            out |= groups(node[1])
     return out
 
 
@@ -310,41 +225,129 @@ def region_of(texts: list[tuple[str, int]]) -> str:
         at = best
 
 
-def infer(pages: list[str]) -> dict[str, list[str]]:
-    """{path: constant texts, candidates for the host's template}, region and menus, from a few pages of one host."""
-    got = [blocks(page) for page in pages]
-    kinds: list[list[list[Block]]] = [[], []]
-    for page in got:
-        kinds[content(page)[1]].append(page)
-    template: dict[str, list[str]] = {}
-    if wrapper := wrapper_of(kinds[1]):
-        named = {(x.path, x.text) for page in kinds[1] for x in page if x.article and x.named and not x.left}
-        for path, text in constants(wrapper):
-            if (path, text) in named:
-                template.setdefault("@" + path, []).append(text)
-    if wrapper := wrapper_of(kinds[0]):
-        fixed = set(constants(wrapper))
-        for path, text in constants(wrapper):
-            template.setdefault(path, []).append(text)
-        slots = [x for page in kinds[0] for x in content(page)[0] if (x.path, x.text) not in fixed]
-        menus = {p for p in groups(wrapper) if all(x.link for x in slots if x.path == p)}
+Token = tuple[str, str, int]  # path (after @ on marked pages), text, and how many times the page had both before
+
+
+def tokens(chosen: list[Block], marked: bool) -> list[Token]:
+    """Of each block of a page's content, in order."""
+    seen: Counter[tuple[str, str]] = Counter()
+    out = []
+    for x in chosen:
+        own = ("@" + x.path if marked else x.path, x.text)
+        out.append((*own, seen[own]))
+        seen[own] += 1
+    return out
+
+
+def outer(chosen: list[Block], marked: bool) -> tuple[list[int], set[str]]:
+    """The blocks of a page's content that can be the template's, outside repeated groups, and the paths in groups."""
+    if marked and not any(x.named for x in chosen):
+        return [], set()
+    nodes = collapse([("text", x.path, x.text, i) for i, x in enumerate(chosen)])
+    return [x[3] for x in nodes if x[0] == "text" and (chosen[x[3]].named or not marked)], groups(nodes)
+
+
+def token_key(token: Token) -> bytes:
+    return hashlib.blake2b("\n".join(map(str, token)).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def page_keys(page: str) -> tuple[bool, bytes, list[bytes]]:
+    """Whether a page's article is marked, a digest of its content, and the keys of what can be the template's."""
+    chosen, marked = content(blocks(page))
+    own = tokens(chosen, marked)
+    digest = hashlib.blake2b(repr([tuple(x) for x in chosen]).encode("utf-8", "replace"), digest_size=16).digest()
+    return marked, digest, [token_key(own[i]) for i in outer(chosen, marked)[0]]
+
+
+def page_facts(page: str, fixed: set[bytes]) -> tuple[bytes, list[tuple[str, str | None, int, int, int, bool, bool]]]:
+    """A page's digest, and of its fixed texts: path, text, number and place; of its other texts, by path: length, whether
+    they are in a repeated group and all links (of pages without a marked article)."""
+    chosen, marked = content(blocks(page))
+    digest = hashlib.blake2b(repr([tuple(x) for x in chosen]).encode("utf-8", "replace"), digest_size=16).digest()
+    free, repeated = outer(chosen, marked)
+    own, out = tokens(chosen, marked), []
+    held = {i for i in free if token_key(own[i]) in fixed}
+    for i in sorted(held):
+        out.append((*own[i], i, 0, False, True))
+    slots: dict[str, list] = {}
+    for i, x in enumerate(chosen if not marked else []):
+        if i not in held:
+            slot = slots.setdefault(x.path, [0, True])
+            slot[0] += len(x.text)
+            slot[1] = slot[1] and x.link
+    return digest, out + [(path, None, 0, 0, size, path in repeated, link) for path, (size, link) in slots.items()]
+
+
+def wrapper_of(facts: Iterable[tuple], unmarked: int) -> dict[str, list]:
+    """A host's wrapper, from (path, text, number, mean place, length, repeated, all links) over its pages, and how many
+    of the different ones have no marked article."""
+    order, slots = [], []
+    for path, text, k, place, size, repeated, link in facts:
+        slots.append((path, size, repeated and link)) if text is None else order.append((place, path, text, k))
+    template: dict[str, list] = {}
+    for _, path, text, k in sorted(order):
+        template.setdefault(path, []).append(text)
+        template.setdefault(ORDER, []).append([path, text, k])
+    if unmarked >= LEAST:
+        menus = sorted(path for path, _, menu in slots if menu)
         if menus:
-            template[MENUS] = sorted(menus)
-        template[REGION] = [region_of([(x.path, len(x.text)) for x in slots if x.path not in menus])]
+            template[MENUS] = menus
+        template[REGION] = [region_of([(path, size) for path, size, menu in slots if not menu])]
     return template
 
 
-def article_text(page: str, template: dict[str, list[str]]) -> str:
+def infer(pages: list[str]) -> dict[str, list]:
+    """The wrapper of a few pages of one host, as `extract_pages` makes it of any number."""
+    keys = {(marked, digest): own for marked, digest, own in map(page_keys, pages)}
+    total = Counter(marked for marked, _ in keys)
+    counts = Counter((marked, k) for (marked, _), own in keys.items() for k in own)
+    fixed = {k for (marked, k), n in counts.items() if n >= max(LEAST, SHARE * total[marked])}
+    if not fixed and total[False] < LEAST:
+        return {}
+    sums: dict[tuple, list] = {}
+    for facts in dict(page_facts(page, fixed) for page in pages).values():
+        for path, text, k, place, size, repeated, link in facts:
+            x = sums.setdefault((path, text, k), [0, 0, 0, False, True])
+            x[:] = x[0] + 1, x[1] + place, x[2] + size, x[3] or repeated, x[4] and link
+    return wrapper_of(((*own, x[1] / x[0], *x[2:]) for own, x in sums.items()), total[False])
+
+
+def rising(places: list[int]) -> list[int]:
+    """The indexes of a longest rising run of different numbers."""
+    ends, last, before = [], [], []
+    for n, place in enumerate(places):
+        r = bisect_left(ends, place)
+        ends[r : r + 1], last[r : r + 1] = [place], [n]
+        before.append(last[r - 1] if r else None)
+    n, out = last[-1] if last else None, []
+    while n is not None:
+        out.append(n)
+        n = before[n]
+    return out[::-1]
+
+
+def aligned(chosen: list[Block], marked: bool, template: dict[str, list]) -> set[int]:
+    """The blocks of a page's content that are the template's: its fixed texts as far as they come in the wrapper's order."""
+    order = {tuple(x): i for i, x in enumerate(template.get(ORDER, ()))}
+    if not order:
+        return set()
+    found = [(i, order[t]) for i, t in enumerate(tokens(chosen, marked)) if t in order and (chosen[i].named or not marked)]
+    return {found[n][0] for n in rising([place for _, place in found])}
+
+
+def article_text(page: str, template: dict[str, list]) -> str:
     chosen, marked = content(blocks(page))
-    if marked:
-        chosen = [x for x in chosen if not (x.named and x.text in template.get("@" + x.path, ()))]
-    elif REGION in template:
+    fixed = aligned(chosen, marked, template)
+    left = [x for i, x in enumerate(chosen) if i not in fixed]
+    if not marked and REGION in template:
         region, menus = template[REGION][0], template.get(MENUS, ())
-        within = [x for x in chosen if not region or (plain_path(x.path) + "/").startswith(region + "/")]
-        chosen = [x for x in within or chosen if x.path not in menus and x.text not in template.get(x.path, ())]
-    else:
-        chosen = [x for x in chosen if not x.named]
-    return "\n".join(x.text for x in chosen)
+        inside = lambda x: not region or (plain_path(x.path) + "/").startswith(region + "/")
+        if any(map(inside, chosen)):
+            left = [x for x in left if inside(x)]
+        left = [x for x in left if x.path not in menus]
+    elif not marked:
+        left = [x for x in left if not x.named]
+    return "\n".join(x.text for x in left)
 
 
 # ---------------------------------------------------------------- over all pages
@@ -354,61 +357,41 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-HOSTS = "host string, template string, n int"
+HOSTS = "host string, template string"
+KEYS = "host string, marked boolean, digest binary, keys array<binary>"
+FACTS = "host string, digest binary, facts array<struct<path string, text string, k int, place int, size int, repeated boolean, link boolean>>"
+FACT = pa.struct([("path", pa.string()), ("text", pa.string()), ("k", pa.int32()), ("place", pa.int32()), ("size", pa.int32()), ("repeated", pa.bool_()), ("link", pa.bool_())])
 
 
-def host_row(host: str, template: dict[str, list[str]]) -> pa.RecordBatch:
-    text = json.dumps(template)
-    return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([text], pa.string()), pa.array([len(candidates(text))], pa.int32())], names=["host", "template", "n"])
+def keys_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of KEYS, of each page."""
+    for batch in batches:
+        got = [page_keys(page or "") for page in batch.column("html").to_pylist()]
+        cols = [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.bool_(), pa.binary(), pa.list_(pa.binary())))]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), *cols], names=["host", "marked", "digest", "keys"])
 
 
-def infer_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each host with a wrapper, and its number of candidates: its rows come together, at most SAMPLES of them."""
-    name, pages = None, []
-    for batch in batches:
-        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            if h != name:
-                if pages and (t := infer(pages)):
-                    yield host_row(name, t)
-                name, pages = h, []
-            pages.append(page or "")
-    if pages and (t := infer(pages)):
-        yield host_row(name, t)
-
-
-def seen_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page: its host, whether its article is marked, a digest of its content and which candidates stand on it."""
-    pairs: dict[str, list[tuple[str, str]]] = {}
+def facts_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of FACTS, of each page; its host's `template` has the keys of the fixed texts."""
+    fixed: dict[str, set[bytes]] = {}
     for batch in batches:
-        out = []
-        for h, page, t in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-            chosen, marked = content(blocks(page or ""))
-            if t not in pairs:
-                if len(pairs) > 1000:
-                    pairs.clear()
-                pairs[t] = candidates(t)
-            have = {("@" + x.path if marked else x.path, x.text) for x in chosen if x.named or not marked}
-            own = repr([(x.path, x.text) for x in chosen]).encode("utf-8", "replace")
-            out.append((h, marked, hashlib.blake2b(own, digest_size=16).digest(), [i for i, x in enumerate(pairs[t]) if x in have]))
-        types = [pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["host", "marked", "digest", "found"])
-
-
-def candidates(template: str) -> list[tuple[str, str]]:
-    return [(path, text) for path, texts in json.loads(template).items() if path[:1] != "#" for text in texts]
-
-
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wrappers without the candidates that too few different pages have; totals are of pages without and with a marked article."""
+        got = []
+        for page, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
+            if t not in fixed:
+                if len(fixed) > 1000:
+                    fixed.clear()
+                fixed[t] = set(map(bytes.fromhex, json.loads(t)))
+            got.append(page_facts(page or "", fixed[t]))
+        facts = [[dict(zip(FACT.names, x)) for x in rows] for _, rows in got]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([d for d, _ in got], pa.binary()), pa.array(facts, pa.list_(FACT))], names=["host", "digest", "facts"])
+
+
+def wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of HOSTS from a list of facts over all pages of each host."""
     for batch in batches:
-        for h, t, totals, counts in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "totals", "counts"))):
-            n, total = {x["i"]: x["n"] for x in counts or []}, {x["marked"]: x["total"] for x in totals or []}
-            left = {k: v for k, v in json.loads(t).items() if k[:1] == "#"}
-            for i, (path, text) in enumerate(candidates(t)):
-                if n.get(i, 0) >= max(LEAST, SHARE * total.get(path[:1] == "@", 0)):
-                    left.setdefault(path, []).append(text)
-            if left:
-                yield host_row(h, left)
+        for h, unmarked, facts in zip(*(batch.column(c).to_pylist() for c in ("host", "unmarked", "facts"))):
+            if t := wrapper_of(((x["path"], x["text"], x["k"], x["places"] / x["n"], x["size"], x["repeated"], x["link"]) for x in facts or []), unmarked):
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.string()), pa.array([json.dumps(t)], pa.string())], names=["host", "template"])
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,25 +421,22 @@ def with_wrappers(rows: DataFrame, hosts: DataFrame, how: str, scratch: Scratch)
     return hot_join(rows, counts, ["host"], "rows", rows.count(), how)
 
 
-def extract_pages(pages: DataFrame, scratch: Scratch, samples: int = SAMPLES) -> DataFrame:
+def extract_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
-    hashed = rows.select("host", "html", F.xxhash64("html").alias("k"), F.coalesce(F.col("html").rlike(MARKED), F.lit(False)).alias("marked"))
-    # copies count once; Spark limits each host to its first rows before the shuffle as well, so a hot host stays small
-    keys = hashed.groupBy("host", "k").agg(F.min("marked").alias("marked")).withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("marked", "k"))).filter(F.col("n") <= samples)
-    keys = scratch.cut(keys.select("host", "k"))
-    first = hashed.join(F.broadcast(keys) if small(keys, "host") else keys, ["host", "k"]).groupBy("host", "k").agg(F.min("html").alias("html"))
-    hosts = scratch.cut(first.repartition("host").sortWithinPartitions("host", "k").select("host", "html").mapInArrow(infer_hosts, HOSTS))
-    scratch.drop(keys)
-    some = hosts.filter("n > 0")
-    if not some.isEmpty():
-        found = with_wrappers(rows, some, "inner", scratch).select("host", "html", "template").mapInArrow(seen_on, "host string, marked boolean, digest binary, found array<int>")
-        groups_ = scratch.cut(found.distinct().groupBy("host", "marked", "found").agg(F.count("*").alias("n")))
-        totals = groups_.groupBy("host", "marked").agg(F.sum("n").alias("total")).groupBy("host").agg(F.collect_list(F.struct("marked", "total")).alias("totals"))
-        counts = groups_.select("host", F.explode("found").alias("i"), "n").groupBy("host", "i").agg(F.sum("n").alias("n")).groupBy("host").agg(F.collect_list(F.struct("i", "n")).alias("counts"))
-        sure = some.select("host", "template").join(totals, "host").join(counts, "host", "left").mapInArrow(confirmed, HOSTS)
-        before, hosts = hosts, scratch.cut(hosts.filter("n = 0").unionByName(sure))
-        scratch.drop(groups_, before)
+    # copies count once: digests are dealt, of which there is one a page, and never a host
+    seen = scratch.cut(rows.select("host", "html").mapInArrow(keys_on, KEYS).groupBy("host", "marked", "digest").agg(F.first("keys").alias("keys")))
+    totals = scratch.cut(seen.groupBy("host", "marked").agg(F.count("*").alias("total")))
+    counts = seen.select("host", "marked", F.explode("keys").alias("key")).groupBy("host", "marked", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    fixed = counts.join(totals, ["host", "marked"]).filter(F.col("n") >= SHARE * F.col("total")).groupBy("host").agg(F.sort_array(F.collect_list(F.lower(F.hex("key")))).alias("keys"))
+    unmarked = totals.groupBy("host").agg(F.sum(F.when(~F.col("marked"), F.col("total")).otherwise(0)).alias("unmarked"))
+    some = scratch.cut(unmarked.join(fixed, "host", "left").filter((F.col("unmarked") >= LEAST) | F.col("keys").isNotNull()).select("host", "unmarked", F.to_json(F.coalesce("keys", F.array().cast("array<string>"))).alias("template")))
+    scratch.drop(seen, totals)
+    facts = with_wrappers(rows, some, "inner", scratch).select("host", "html", "template").mapInArrow(facts_on, FACTS).groupBy("host", "digest").agg(F.first("facts").alias("facts"))
+    by_path = facts.select("host", F.explode("facts").alias("f")).groupBy("host", "f.path", "f.text", "f.k").agg(F.count("*").alias("n"), F.sum("f.place").alias("places"), F.sum("f.size").alias("size"), F.max("f.repeated").alias("repeated"), F.min("f.link").alias("link"))
+    by_host = by_path.groupBy("host").agg(F.collect_list(F.struct("path", "text", "k", "n", "places", "size", "repeated", "link")).alias("facts"))
+    hosts = scratch.cut(some.select("host", "unmarked").join(by_host, "host", "left").mapInArrow(wrappers, HOSTS))
+    scratch.drop(some)
     return with_wrappers(rows, hosts, "left", scratch).select("page_id", "url", "html", "template").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -360,3 +360,26 @@ def test_hash_table_grows_with_what_it_holds():
         t.put(keys[i : min(i + 70_000, 200_000)], np.arange(i, min(i + 70_000, 200_000), dtype=np.int32))
     assert (t.get(keys[:200_000]) == np.arange(200_000)).all() and (t.get(keys[200_000:]) == -1).all()
     assert 400_000 <= len(t.keys) <= 1 << 20
+
+
+def test_wrappers_come_from_all_pages_of_a_host(spark, scratch):
+    """Menus, region and fixed texts that some pages lack, few of them or those first by hash: the other pages decide as well."""
+    full = lambda k: page(f"<div class='a'><div class='c'><h2>Title {k}</h2><p>{'Long text ' * 20}{k}</p><h3>Printed here</h3></div><ul class='m'><li><a href='x'>One {k}</a></li><li><a href='y'>Two {k}</a></li></ul></div>")
+    odd = lambda k: page(f"<div class='a'><div class='d'><h2>Odd title {k}</h2><p>Short {k}</p></div></div>")
+    made = [(k, *x) for k in range(400) for x in (("full", full(k)), ("odd", odd(k)))]
+    made = spark.createDataFrame(made, "k int, kind string, html string").selectExpr("*", "xxhash64(html) AS h").orderBy("h").collect()
+    odds = [r for r in made if r["kind"] == "odd"][:8]
+    rows = odds + [r for r in made if r["kind"] == "full" and r["h"] > odds[-1]["h"]][:120]
+    table_ = spark.createDataFrame([(i, f"http://a/{i}", r["html"]) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(table_, scratch).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == (f"Odd title {r['k']}\nShort {r['k']}" if r["kind"] == "odd" else f"Title {r['k']}\n{'Long text ' * 20}{r['k']}")
+    assert len(rows) == 128
+
+
+def test_alignment_keeps_what_comes_out_of_order():
+    rows = [page(f"<div><h1>T {k}</h1><h4>First</h4><p>Text {k}</p><h5>Last</h5></div>") for k in range(12)]
+    template = H.infer(rows)
+    assert H.article_text(rows[0], template) == "T 0\nText 0"
+    assert H.article_text(page("<div><h5>Last</h5><p>Body</p><h4>First</h4></div>"), template) in ("Last\nBody", "Body\nFirst")
+    assert H.rising([3, 0, 1, 4, 2, 5]) == [1, 2, 4, 5] and H.rising([]) == []
