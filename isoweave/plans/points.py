@@ -131,6 +131,14 @@ def _weights(t: Column, i: Column) -> Column:
     return F.when(i == 0, w[0]).when(i == 1, w[1]).when(i == 2, w[2]).otherwise(w[3])
 
 
+def windows(g: DataFrame) -> DataFrame:
+    """variable, time_id, x0, y0, v, present: of each block every 4 x 4 cells around (x0, y0), row by row, with nulls for missing ones, and how many are there."""
+    cells = F.array_sort(F.collect_list(F.struct((F.col("gy") * 20 + F.col("gx")).alias("k"), "value")))
+    at = g.groupBy(*CELL).agg(cells.alias("c")).select(*CELL, F.col("c.value").alias("m"), F.explode(F.sequence(F.lit(1), F.lit(17))).alias("x0")).select("*", F.explode(F.sequence(F.lit(1), F.lit(17))).alias("y0"))
+    at = at.withColumn("v", F.concat(*(F.slice("m", (F.col("y0") - 1 + j) * 20 + F.col("x0"), 4) for j in range(4))))
+    return at.select(*CELL, "x0", "y0", "v", F.size(F.array_compact("v")).alias("present"))
+
+
 _CR = lambda t, i: f"CASE {i} WHEN 0 THEN -0.5::DOUBLE*{t}*{t}*{t} + {t}*{t} - 0.5::DOUBLE*{t} WHEN 1 THEN 1.5::DOUBLE*{t}*{t}*{t} - 2.5::DOUBLE*{t}*{t} + 1 WHEN 2 THEN -1.5::DOUBLE*{t}*{t}*{t} + 2.0::DOUBLE*{t}*{t} + 0.5::DOUBLE*{t} ELSE 0.5::DOUBLE*{t}*{t}*{t} - 0.5::DOUBLE*{t}*{t} END"
 
 
@@ -138,13 +146,17 @@ _CR = lambda t, i: f"CASE {i} WHEN 0 THEN -0.5::DOUBLE*{t}*{t}*{t} + {t}*{t} - 0
     f"WITH {GRID_SQL}, {POINTS_SQL}, {_FRAC}, b AS (SELECT * FROM q WHERE x0 BETWEEN 1 AND 17 AND y0 BETWEEN 1 AND 17), k AS (SELECT point, (x0 + i - 1)::BIGINT AS gx, (y0 + j - 1)::BIGINT AS gy, ({_CR('(fx - x0)', 'i')}) * ({_CR('(fy - y0)', 'j')}) AS w FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)) SELECT point, variable, time_id, CASE WHEN count(value) = 16 THEN round(sum(w * value), 3) END AS value FROM k JOIN grid USING (gx, gy) GROUP BY ALL"
 )
 def bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catmull-Rom samples from 16 neighbours, a margin of one cell kept; one missing makes it missing."""
+    """Catmull-Rom samples from 16 neighbours, a margin of one cell kept; one missing makes it missing.
+
+    Each block's windows of 4 x 4 cells, 289 whatever the input, are broadcast; the points are not, nor are they unfolded: a sample is made within a row. Rows of one point are counted first, as the SQL adds them up."""
     x, y = grid_position(F.col("lat"), F.col("lon"), GRID)
     p = points(spark, sf_dir).withColumns({"fx": x, "fy": y}).withColumns({"x0": F.floor("fx"), "y0": F.floor("fy")}).filter("x0 BETWEEN 1 AND 17 AND y0 BETWEEN 1 AND 17 AND fx <= 19 AND fy <= 19")
-    p = p.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(4) for i in range(4)))))
-    w = _weights(F.col("fx") - F.col("x0"), F.col("o.i")) * _weights(F.col("fy") - F.col("y0"), F.col("o.j"))
-    p = p.select("point", (F.col("x0") + F.col("o.i") - 1).alias("gx"), (F.col("y0") + F.col("o.j") - 1).alias("gy"), w.alias("w"))
-    return p.join(grid(spark, sf_dir), ["gx", "gy"]).groupBy("point", *CELL).agg(F.when(F.count("value") == 16, F.round(F.sum(F.col("w") * F.col("value")), 3)).alias("value"))
+    p = p.groupBy("point", "fx", "fy", "x0", "y0").agg(F.count("*").alias("n"))
+    w = {f"w{a}{i}": _weights(F.col(f"f{a}") - F.col(f"{a}0"), F.lit(i)) for a in "xy" for i in range(4)}
+    p = p.withColumns(w).select("point", "x0", "y0", "n", *w)
+    hit = p.join(F.broadcast(windows(grid(spark, sf_dir))), ["x0", "y0"])
+    terms = [F.coalesce(F.col(f"wx{i}") * F.col(f"wy{j}") * F.col("v")[4 * j + i], F.lit(0.0)) for j in range(4) for i in range(4)]
+    return hit.select("point", *CELL, F.when(F.col("n") * F.col("present") == 16, F.round(F.col("n") * sum(terms[1:], terms[0]), 3)).alias("value"))
 
 
 @query(f"WITH {GRID_SQL} SELECT variable, time_id, gx // 8 AS cx, gy // 8 AS cy, count(*)::BIGINT AS cells, count(value)::BIGINT AS present, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM grid GROUP BY ALL")
